@@ -18,6 +18,9 @@ _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: Bytes that are no ASCII letter or digit and no part of another character.
+_OUTER = np.ones(256, bool)
+_OUTER[128:] = _OUTER[48:58] = _OUTER[65:91] = _OUTER[97:123] = False
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
@@ -60,15 +63,16 @@ def blocks(ends: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False, inner: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the rows that ``ends`` bounds: each word's hash, first byte and end (from the block's start), and
-    for each row the index of its first word (one more entry than rows)."""
+    for each row the index of its first word (one more entry than rows). inner: words are runs of letters, digits
+    and characters beyond ASCII, not all that stands between spaces."""
     lo, rows = int(ends[0]), ends - ends[0]
     b = data[lo : int(ends[-1])]
     n = len(b)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(rows), np.int64)
-    word = ~_SPACE[b]
+    word = ~(_OUTER if inner else _SPACE)[b]
     edge = np.zeros(n + 1, bool)
     edge[rows] = True
     first = word.copy()
@@ -92,3 +96,13 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(k):
         total += words[i : len(words) - k + 1 + i] * np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64))
     return mix(total)
+
+
+def find(ordered: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x stands in an ordered array, and whether it does."""
+    if not len(ordered):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    maybe = np.isin((x >> np.uint64(44)).astype(np.int64), (ordered >> np.uint64(44)).astype(np.int64), kind="table") if len(x) > 1024 else np.ones(len(x), bool)
+    at, few = np.zeros(len(x), np.int64), np.flatnonzero(maybe)
+    at[few] = np.minimum(np.searchsorted(ordered, x[few]), len(ordered) - 1)
+    return at, maybe & (ordered[at] == x)
