@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters, digits and bytes of other characters, lower-cased in A-Z; so punctuation and
+Words are runs of ASCII letters, digits and other characters, lower-cased; so punctuation, capitals and
 markup between words do not matter. A first pass counts, over all documents, in how many each n-gram of the
 test items occurs. Of each WINDOW neighbouring n-grams of an item the one in the fewest documents is a seed, so
 every stretch of an item has one, however common its passage is in the corpus. A second pass finds the seeds
@@ -135,8 +135,8 @@ def _match(items: Items, words: np.ndarray, hit: np.ndarray, place: np.ndarray,
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, item_id, score (0 to 1), first_word, end_word, seeds: one row for each document and item that match."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), filled(F.col(text_col).cast("string")).alias("text"))
-    tests = benchmark.select(F.col(item_col).cast("long").alias("item"), filled(F.col(item_text).cast("string")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(filled(F.col(text_col).cast("string"))).alias("text"))
+    tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.lower(filled(F.col(item_text).cast("string"))).alias("text"))
     slices = max(1, -(-tests.count() // MAX_ITEMS))
     out = None
     for s in range(slices):

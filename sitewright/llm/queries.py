@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, mixing, near_dedup, sharding
+from . import decontamination, exact_dedup, mixing, near_dedup, sharding, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,7 +32,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op6_near_dedup, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_mixing, op6_near_dedup, op9_sharding, op10_decontamination)}
 
 ORACLES = {
     "op1_exact_dedup": """
