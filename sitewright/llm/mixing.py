@@ -27,11 +27,16 @@ def number_of(id_col: str):
     return F.conv(F.substring(F.md5(filled(F.col(id_col).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
 
 
+def source_key(source_col: str):
+    """A source as a key for joins, null too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+
+
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("source_key"),
+        source_key(source_col).alias("source_key"),
         F.regexp_count(filled(F.col(text_col).cast("string")), F.lit(WORD)).cast("long").alias("size"),
         number_of(id_col).alias("number"),
     )
@@ -91,11 +96,29 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source_key", "copies", F.col("prefix").alias("bound"))
 
 
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """source_key, source_size, target, copies, bound for each source of `sizes`."""
+    totals = rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    goals = save(targets(totals, weights), "mix-targets")
+    return goals.join(thresholds(rows, goals), "source_key").drop("source")
+
+
+def _copies():
+    return F.col("copies") + (F.col("number") < F.col("bound")).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """id, source, size, source_size, target, copies (0 to 2) and taken for each row."""
     rows = save(sizes(docs, id_col, text_col, source_col), "mix-rows")
-    totals = rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    goals = save(targets(totals, weights), "mix-targets")
-    plan = goals.join(thresholds(rows, goals), "source_key").drop("source")
-    copies = F.col("copies") + (F.col("number") < F.col("bound")).cast("long")
-    return joined(rows, plan, ["source_key"]).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    out = joined(rows, plan(rows, weights), ["source_key"])
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _copies().alias("copies"), (F.col("size") * _copies()).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows themselves, each as often as the mix takes it; texts do not move."""
+    rows = save(sizes(docs, id_col, text_col, source_col), "mix-rows")
+    chosen = save(plan(rows, weights), "mix-plan").select("source_key", F.col("copies").alias("_mix_copies"), F.col("bound").alias("_mix_bound"))
+    keyed = docs.withColumn("source_key", source_key(source_col))
+    times = F.col("_mix_copies") + (number_of(id_col) < F.col("_mix_bound")).cast("long")
+    repeated = joined(keyed, chosen, ["source_key"]).withColumn("_mix_times", times).where("_mix_times > 0")
+    return repeated.withColumn("_mix_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))).select(*docs.columns)

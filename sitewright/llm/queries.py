@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, mixing, near_dedup, sharding, toxicity, warc
+from . import chat, decontamination, exact_dedup, licenses, mixing, near_dedup, pii, sharding, toxicity, warc
 from .common import table
 
 
@@ -21,6 +21,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -51,7 +59,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_mixing, op5_warc, op6_near_dedup, op7_chat, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_mixing, op4_licenses, op5_warc, op6_near_dedup, op7_chat, op8_pii, op9_sharding, op10_decontamination)}
 
 ORACLES = {
     "op5_warc": """

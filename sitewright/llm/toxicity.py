@@ -10,7 +10,8 @@ texts are scored, whole, in one pass without a shuffle.
 
 Null text counts as empty; its score is that of the bias alone. Rows without a label, or with a null one,
 teach nothing. Without labelled rows every score is 0.25. Rows with equal ids are scored each; labels of equal
-ids all teach. Of an empty table the result is empty. Only id, text and label are read.
+ids all teach. Of an empty table the result is empty. `score` keeps all columns of
+its rows; their names must differ from the one it adds, which is a parameter.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .common import filled, save
@@ -123,8 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Weights(float(value[0]), place[1:], value[1:]) if len(got) else Weights(float(np.log(1 / 3)), np.zeros(0, np.int64), np.zeros(0))
 
 
-def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score for each row."""
+def score(docs: DataFrame, weights: Weights, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The rows with their scores; no column is lost, and no row moves."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +134,7 @@ def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: s
         w[sent.value.place] = sent.value.value
         some = w != 0
         for batch in batches:
-            data, ends = W.texts(batch.column(1))
+            data, ends = W.texts(batch.column(batch.num_columns - 1))
             out = []
             for i, j in W.blocks(ends):
                 h, _, _, at = W.word_hashes(data, ends[i : j + 1], inner=True)
@@ -141,18 +143,19 @@ def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: s
                 pair = np.unique(row[k] << BITS | f[k])
                 out.append(np.bincount(pair >> BITS, weights=w[pair & ((1 << BITS) - 1)], minlength=j - i))
             total = sent.value.bias + (np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["id", "score"])
+            value = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], value], [*batch.schema.names[:-1], score_col])
 
-    rows = _rows(docs, id_col, text_col)
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(scored, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    rows = docs.select("*", F.lower(filled(F.col(text_col).cast("string"))).alias("_toxicity_text"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    return rows.mapInArrow(scored, schema)
 
 
 def held_out(id_col: str):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    return F.crc32(filled(F.col(id_col).cast("string")).cast("binary")) % 5 == 0
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """id, held_out, score, predicted for each row. Labels of held-out ids are not used."""
     weights = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, label_col, fit_rows)
-    return score(docs, weights, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs.select(id_col, text_col), weights, text_col).select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
