@@ -12,27 +12,58 @@ from pyspark.sql import functions as F
 from .common import drop, joined, save
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes, as stars within each partition: node, root."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) >= SPILL:
+                yield star(up, root)
+                up.clear()
+        yield star(up, root)
+
+    def star(up, root) -> pa.RecordBatch:
+        pairs = [(x, r) for x in up if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(contract, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) from edges a, b: large-star and small-star steps, each a
-    minimum for each node and a join, until no edge changes. No node's neighbours are ever gathered."""
-    now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    """node, component (the smallest node reachable) from edges a, b. Each round, a node takes the least label
+    of its neighbours, and then its label's label; a round is one shuffle of minima, combined before it, and
+    lookups of labels, which are broadcast only while they are few. No node's neighbours are ever gathered."""
+    stars = save(contracted(edges.where("a <> b")), "edges")
+    both = save(stars.union(stars.select("b", "a")).distinct(), "edges")
+    labels = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        large = save(large, "large-star")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.union(down.select("a", F.col("m").alias("b"))).where("a <> b")
-        after = save(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-star")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop(now, large)
-        now = after
-        if tuple(mark) == before:
-            return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(now.select("b", "b").distinct()).groupBy("node").agg(F.min("component").alias("component"))
-        before = tuple(mark)
+        # the label's label
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        jumped = joined(labels, jump, ["label"], "left", FEW).select("node", F.coalesce("far", "label").alias("now"), "label")
+        near = joined(both.withColumnRenamed("b", "node"), labels, ["node"], "inner", FEW).select(F.col("a").alias("node"), F.col("label").alias("now"), F.lit(None).cast("long").alias("label"))
+        after = jumped.unionByName(near).groupBy("node").agg(F.min("now").alias("now"), F.max("label").alias("label"))
+        after = save(after.select("node", F.col("now").alias("label"), (F.col("now") != F.col("label")).alias("changed")), "labels")
+        drop(labels)
+        labels = after.select("node", "label")
+        if not after.where("changed").limit(1).count():
+            drop(stars, both)
+            return labels.withColumnRenamed("label", "component")
+
+
+#: Rows of labels that are broadcast, at most; nodes that a task contracts at once.
+FEW, SPILL = 300_000, 1_000_000
 
 
 class Sets:
@@ -77,26 +108,33 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def link_groups(members: DataFrame, kernel_of: Callable[[], Callable], limit: int, parts: int | None = None) -> DataFrame:
-    """Edges a, b between the docs of each group (columns gid, doc, and what the kernel reads), such that docs
-    which the kernel links, directly or through others, are connected.
+def sized(members: DataFrame, limit: int) -> DataFrame:
+    """gid, lead (the smallest doc) and chunks of each group of several docs."""
+    size = members.groupBy("gid").agg(F.count("*").alias("n"), F.min("doc").alias("lead")).where("n > 1")
+    return size.select("gid", "lead", F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
+
+
+def link_groups(rows: DataFrame, groups: DataFrame, kernel_of: Callable[[], Callable], limit: int, parts: int | None = None) -> DataFrame:
+    """Edges a, b between the docs of each group (rows: gid, lead, chunks, doc and what the kernel reads;
+    groups: as `sized` makes them), such that docs which the kernel links, directly or through others, are
+    connected.
 
     A task takes at most about ``limit`` docs of a group. A larger group is dealt into chunks by hash, and its
     smallest doc goes to each of them. Docs that the first pass leaves apart from that doc's component are
     then compared with all docs of the group, chunk by chunk: exact, and linear in the group while few of its
     docs are apart."""
-    size = members.groupBy("gid").agg(F.count("*").alias("n"), F.min("doc").alias("lead")).where("n > 1")
-    size = size.withColumn("chunks", F.ceil(F.col("n") / limit).cast("int"))
-    rows = save(members.join(size.select("gid", "lead", "chunks"), "gid"), "group-members")
+    some = bool(groups.where("chunks > 1").limit(1).count())
+    rows = save(rows, "group-rows") if some else rows
     deal = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
     lead = (F.col("doc") == F.col("lead")) & (F.col("chunks") > 1)
-    first = rows.withColumns({"chunk": F.explode(F.when(lead, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(deal))), "other": F.lit(0), "heads": F.lit(True)})
+    chunk = F.explode(F.when(lead, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(deal))) if some else F.lit(0)
+    first = rows.withColumns({"chunk": chunk, "other": F.lit(0), "heads": F.lit(True)})
     out = save(_linked(first, kernel_of, parts), "group-links")
-    large = rows.where("chunks > 1")
-    if not large.limit(1).count():
+    if not some:
         return out
+    large = rows.where("chunks > 1")
     comp = components(out)
-    leads = large.select("gid", "lead").distinct().join(comp.select(F.col("node").alias("lead"), F.col("component").alias("of")), "lead", "left")
+    leads = groups.where("chunks > 1").join(comp.select(F.col("node").alias("lead"), F.col("component").alias("of")), "lead", "left")
     apart = large.join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(leads.select("gid", F.coalesce("of", "lead").alias("of")), "gid")
     apart = save(apart.where(F.coalesce("component", "doc") != F.col("of")).drop("component", "of"), "group-apart")
     few = apart.groupBy("gid").agg(F.ceil(F.count("*") / limit).cast("int").alias("others"))

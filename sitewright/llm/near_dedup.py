@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import filled, joined, save
-from .graph import Sets, components, link_groups
+from .graph import FEW, Sets, components, link_groups, sized
 
 SHINGLE, ROWS, BITS = 5, 5, 4
-#: Docs of a group that one task compares, at most; rows that are broadcast, at most.
-LIMIT, FEW = 1024, 300_000
+#: Docs of a group that one task compares, at most.
+LIMIT = 1024
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -167,18 +167,18 @@ def comparing(percent: int):
 
 
 def full_sets(rows: DataFrame) -> DataFrame:
-    """gid, doc, text to gid, doc, full (the sorted shingles of the whole text)."""
+    """gid, lead, chunks, doc, text to the same with full (the sorted shingles of the whole text) for text."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = W.texts(batch.column(2))
+            data, ends = W.texts(batch.column(4))
             out = []
             for i, j in W.blocks(ends):
                 h, _, _, at = W.word_hashes(data, ends[i : j + 1], lower=True)
                 out += [np.unique(W.shingles(h[at[k] : at[k + 1]], SHINGLE)).tobytes() for k in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["gid", "doc", "full"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["gid", "lead", "chunks", "doc", "full"])
 
-    return rows.select("gid", "doc", "text").mapInArrow(shingle, "gid long, doc long, full binary")
+    return rows.select("gid", "lead", "chunks", "doc", "text").mapInArrow(shingle, "gid long, lead long, chunks int, doc long, full binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, limit: int = LIMIT) -> DataFrame:
@@ -186,23 +186,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = bands_for(percent / 100)
     hashes = bands * ROWS
     signed = save(signatures(docs, bands, id_col, text_col), "near-signatures")
-    alike = signed.where("n > 0 AND doc IS NOT NULL").groupBy("set_a", "set_b", "n").agg(F.min("doc").alias("first"))
-    alike = save(alike, "near-alike")
+    key = ["set_a", "set_b", "n"]
     # one row stands for each set; where an id has several texts, each of its sets does
-    key = [F.col(c) for c in ("set_a", "set_b", "n")]
-    heads = signed.join(alike, (signed.doc == alike["first"]) & (signed.set_a == alike.set_a) & (signed.set_b == alike.set_b) & (signed.n == alike.n), "left_semi")
-    heads = heads.dropDuplicates(["doc", "set_a", "set_b", "n"])
+    heads = signed.where("n > 0 AND doc IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc", "bands", "bits")).alias("h"))
+    heads = save(heads.select(*key, "h.*"), "near-heads")
     shared = heads.select(F.explode("bands").alias("gid"), "doc")
-    crowd = shared.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
-    shared = save(shared.join(crowd, "gid"), "near-shared")
-    bits = joined(signed.select("doc", "bits"), shared.select("doc").distinct(), ["doc"], "left_semi", FEW).dropDuplicates(["doc"])
-    edges = link_groups(shared.distinct().join(bits, "doc"), estimating(hashes, least_estimate(percent / 100, hashes)), limit)
-    clusters = save(components(edges).select(F.col("node").alias("doc"), F.col("component").alias("gid")), "near-clusters")
+    groups = save(sized(shared, limit), "near-bands")
+    bits = heads.select("doc", "bits").dropDuplicates(["doc"])
+    edges = link_groups(shared.join(groups, "gid").join(bits, "doc"), groups, estimating(hashes, least_estimate(percent / 100, hashes)), limit)
+    clusters = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("gid"))
+    groups = save(sized(clusters, limit), "near-clusters")
+    members = save(clusters.join(groups, "gid"), "near-members")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), filled(F.col(text_col).cast("string")).alias("text"))
-    links = link_groups(full_sets(joined(texts, clusters, ["doc"], rows=FEW)), comparing(percent), limit)
-    found = components(links)
-    named = alike.join(found.withColumnRenamed("node", "first"), "first", "left")
-    named = named.select(*key, F.coalesce("component", "first").alias("component_id"))
-    out = joined(signed.select("doc", *key), named, ["set_a", "set_b", "n"], "left")
+    links = link_groups(full_sets(joined(texts, members, ["doc"], rows=FEW)), groups, comparing(percent), limit)
+    named = joined(heads.select(*key, "doc"), components(links).withColumnRenamed("node", "doc"), ["doc"], "left", FEW)
+    named = named.select(*key, F.coalesce("component", "doc").alias("component_id"))
+    out = joined(signed.select("doc", *key), named, key, "left", FEW)
     own = F.when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc").eqNullSafe(own).alias("kept"))
