@@ -34,7 +34,10 @@ def on_target_contigs(reads: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def with_sample(reads: DataFrame, read_groups: DataFrame, samples: DataFrame) -> DataFrame:
-    """Adds sample_idx; reads whose group is missing or has no sample go."""
+    """Adds sample_idx; reads whose group is missing or has no sample go. A group that is no text (the reader
+    marks it by a leading NUL) is an error."""
+    bad = F.raise_error(F.concat(F.lit("read group of an unexpected type: "), F.substring("rg", 2, 1))).cast("string")
+    reads = reads.withColumn("rg", F.when(F.col("rg").startswith("\0"), bad).otherwise(F.col("rg")))
     return lookup(reads, read_groups.where("sample IS NOT NULL").join(F.broadcast(samples), "sample").select("rg", "sample_idx"), ["rg"])
 
 
