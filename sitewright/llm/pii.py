@@ -130,14 +130,14 @@ def entities(parts: DataFrame, key: str) -> DataFrame:
 def mentions(docs: DataFrame, text_col: str) -> DataFrame:
     """Rows that may hold entities, with their mentions in order."""
     text = filled(F.col(text_col).cast("string"))
-    some = docs.where(text.rlike(HINT)).withColumn("_pii_found", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    return some.where(F.size("_pii_found") > 0)
+    some = docs.where(text.rlike(HINT) & text.rlike(ANY))
+    return some.withColumns({"_pii_found": F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), "_pii_row": F.monotonically_increasing_id()})
 
 
 def rewrite(docs: DataFrame, text_col: str = "text", key: str = "surrogates", only_changed: bool = False) -> DataFrame:
     """The rows with surrogates for entities; _pii_n and _pii_kinds tell how many mentions of which kinds."""
-    rows = docs.withColumn("_pii_row", F.monotonically_increasing_id())
-    found = save(mentions(rows, text_col), "pii-found")
+    # saved before its rows' numbers are used: they need not come out the same a second time
+    found = save(mentions(docs, text_col), "pii-found")
     each = found.select("_pii_row", F.posexplode("_pii_found").alias("at", "mention"))
     each = each.select("_pii_row", "at", "mention", F.posexplode(parts_of(F.col("mention"))).alias("part", "p"))
     parts = save(each.select("_pii_row", "at", "mention", "part", F.col("p.kind").alias("kind"), F.col("p.raw").alias("raw"), canonical(F.col("p.kind"), F.col("p.raw")).alias("canon")), "pii-parts")
@@ -155,8 +155,9 @@ def rewrite(docs: DataFrame, text_col: str = "text", key: str = "surrogates", on
     changed = changed.withColumn("_pii_n", F.size("_pii_found").cast("long")).drop("_pii_found", "_pii_values")
     if only_changed:
         return changed.drop("_pii_row")
-    same = rows.join(found.select("_pii_row"), "_pii_row", "left_anti").withColumns({"_pii_n": F.lit(0).cast("long"), "_pii_kinds": F.array().cast("array<string>")})
-    return changed.unionByName(same).drop("_pii_row")
+    text = filled(F.col(text_col).cast("string"))
+    same = docs.where(~(text.rlike(HINT) & text.rlike(ANY))).withColumns({"_pii_n": F.lit(0).cast("long"), "_pii_kinds": F.array().cast("array<string>")})
+    return changed.drop("_pii_row").unionByName(same)
 
 
 def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "surrogates") -> DataFrame:

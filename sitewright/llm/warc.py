@@ -12,8 +12,7 @@ give one nested row for each capture. Revisits find the payload's length through
 
 Null payload counts as empty, a null url as an address made from the id; line ends in a url are percent-coded.
 A null id has no page-id line and is read back as null; it is smaller than any other. Rows repeated with equal
-id and payload are captures of their own: one of them is the response, the others revisit it. Responses
-without request or metadata records have null there; without responses the result is empty. Columns other
+id and payload have equal record ids and are of one type, each a capture. Responses without request or metadata records have null there; without responses the result is empty. Columns other
 than the three named are not read.
 """
 
@@ -35,8 +34,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def record_id(kind: str, page: Column, row: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.lit(kind), filled(page.cast("string")), row.cast("string")).cast("binary"))
+def record_id(kind: str, page: Column, sha: Column) -> Column:
+    """The same for the same page and payload, however often a task runs."""
+    h = F.md5(F.concat_ws("|", F.lit(kind), filled(page.cast("string")), F.hex(sha)).cast("binary"))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -56,28 +56,26 @@ def _line(name: str, value: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    base = pages.select(
-        F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), filled(F.col(payload_col).cast("string")).alias("payload"), F.monotonically_increasing_id().alias("row")
-    )
-    body = F.col("payload").cast("binary")
+    base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), filled(F.col(payload_col).cast("string")).alias("payload"))
+    body, page, sha = F.col("payload").cast("binary"), F.col("page"), F.col("sha")
     large = F.octet_length("payload") >= LEAST_REVISIT
-    seen = base.where(large).groupBy(F.unhex(F.sha2(body, 256)).alias("sha")).agg(F.max(F.struct("page", "row")).alias("top"), F.count("*").alias("n"))
+    keyed = base.withColumn("sha", F.unhex(F.sha2(body, 256)))
+    seen = keyed.where(large).groupBy("sha").agg(F.max("page").alias("top"), F.count("*").alias("n"))
     again = save(seen.where("n > 1").select("sha", "top"), "warc-repeated")
-    known = joined(base.withColumn("sha", F.when(large, F.unhex(F.sha2(body, 256)))), again, ["sha"], "left")
-    revisit = F.col("top").isNotNull() & ~F.struct("page", "row").eqNullSafe(F.col("top"))
-    page, row = F.col("page"), F.col("row")
+    known = joined(keyed, again, ["sha"], "left")
+    revisit = F.coalesce(large & F.col("top").isNotNull() & ~page.eqNullSafe(F.col("top")), F.lit(False))
     uri = F.coalesce(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.concat(F.lit("urn:page:"), filled(page.cast("string"))))
     digest = _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1(body)))
-    main = record_id("response", page, row)
+    main = record_id("response", page, sha)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
     answer = _record(
         F.when(revisit, "revisit").otherwise("response"), F.when(revisit, http).otherwise(F.concat(http, F.col("payload"))), main, uri, "application/http; msgtype=response", digest,
-        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record_id("response", F.col("top.page"), F.col("top.row"))))),
+        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record_id("response", F.col("top"), sha)))),
     )
     belongs = _line("WARC-Concurrent-To", main)
-    request = _record("request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END}")), record_id("request", page, row), uri, "application/http; msgtype=request", belongs)
+    request = _record("request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END}")), record_id("request", page, sha), uri, "application/http; msgtype=request", belongs)
     fields = F.concat(F.coalesce(_line("page-id", page.cast("string")), F.lit("")), _line("fetcher", F.lit("pages")))
-    about = _record("metadata", fields, record_id("metadata", page, row), uri, "application/warc-fields", belongs)
+    about = _record("metadata", fields, record_id("metadata", page, sha), uri, "application/warc-fields", belongs)
     text = known.select(F.concat_ws(END, request, answer, about).alias("value"))
     text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PAGES_A_FILE).text(path)
 
@@ -140,7 +138,7 @@ def resolved(found: DataFrame) -> DataFrame:
     rows = found.select("record", "kind", F.when(page != "", page).cast("long").alias("page_id"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_sha1").alias("sha"), F.col("response.declared").alias("declared"), F.col("response.refers_to").alias("refers_to"))
     rows = save(rows, "warc-captures")
     named = rows.where("kind = 'revisit'").select(F.col("refers_to").alias("record")).distinct()
-    origin = rows.where("kind = 'response'").join(named, "record", "left_semi").select(F.col("record").alias("refers_to"), F.col("page_id").alias("of"), F.col("n").alias("full"))
+    origin = rows.where("kind = 'response'").join(named, "record", "left_semi").dropDuplicates(["record"]).select(F.col("record").alias("refers_to"), F.col("page_id").alias("of"), F.col("n").alias("full"))
     both = joined(rows, save(origin, "warc-origins"), ["refers_to"], "left")
     return both.select("page_id", F.coalesce("n", "full").alias("payload_bytes"), F.coalesce("sha", F.substring_index("declared", ":", -1)).alias("payload_digest"), F.col("kind").alias("record_type"), F.col("of").alias("refers_to"))
 

@@ -1,0 +1,451 @@
+"""Each operator against brute force, on small tables with nulls, empty and long texts, repeated rows and
+columns whose names clash with those that the operators make."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sitewright.llm import chat, decontamination, exact_dedup, licenses, mixing, near_dedup, pii, sharding, toxicity, warc
+from sitewright.llm.graph import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id string, size double, kept string, score string"
+
+
+def vocabulary(rng, n=400):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+def documents(rng, n=160):
+    """Texts with exact and near copies, one copied often, one very long, some null, empty or blank."""
+    words = vocabulary(rng)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 120))) for _ in range(n)]
+    for i in range(0, n // 3):
+        w = texts[rng.randrange(n)].split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += [texts[0]] * 40 + [None, None, "", "  \n", "one", "One", "a b c d", "é ü 漢字 😀"] + [" ".join(rng.choice(words) for _ in range(20_000))]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    rows = [(i, t, "en", rng.choice(["s1", "s10", "s2", "hot", "hot", "hot", None]), 0, "k", "x", 1.0, "no", "z") for i, t in zip(ids, texts)]
+    return [*rows, rows[3], rows[3], (None, "without an id", None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return documents(random.Random(7))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_empty_tables(spark, nothing):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for df in (exact_dedup.exact_duplicates(nothing), mixing.mix(nothing), mixing.mixed(nothing), licenses.scan(nothing), near_dedup.near_duplicates(nothing), pii.surrogates(nothing), pii.rewrite(nothing), sharding.shard_documents(nothing), decontamination.contaminated(nothing, bench), toxicity.toxicity(nothing, labels)):
+        assert df.collect() == []
+    assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.formatted(chat.canonical(chat.packed(turns))).collect() == []
+
+
+@pytest.mark.parametrize("weak,capacity", [(False, 1 << 16), (False, 5), (True, 5)])
+def test_exact(docs, rows, weak, capacity):
+    key = (lambda c: F.pmod(F.xxhash64(c), F.lit(7))) if weak else exact_dedup.text_key
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r[0])
+    want = Counter()
+    for t, ids in groups.items():
+        top = max((i for i in ids if i is not None), default=None)
+        for i in ids:
+            want[i, top, len(ids), i == top, hashlib.sha256(t.encode()).hexdigest()] += 1
+    got = exact_dedup.exact_duplicates(docs, key=key, capacity=capacity)
+    assert Counter(tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == want
+
+
+def test_directory(spark):
+    """Every bucket holds what fits, none could be merged with its sibling, and all keys have one bucket."""
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    cells = exact_dedup.directory_of(keys, 100, 10).collect()
+    load = Counter(r.key >> 54 & 1023 for r in keys.collect())
+    assert {r.cell for r in cells} == set(load)
+    held, parent = Counter(), Counter()
+    for r in cells:
+        assert r.bucket == 1 << r.depth | r.cell >> (10 - r.depth)
+        held[r.bucket] += load[r.cell]
+    for c, n in load.items():
+        for r in (r for r in cells if r.depth):
+            if c >> (11 - r.depth) == r.cell >> (11 - r.depth):
+                parent[r.bucket, r.cell] += n
+    assert max(held.values()) <= 100 and len(held) > 20 and min(parent.values()) > 100
+
+
+def labelled(rng, words, bad, n):
+    out = []
+    for i in range(n):
+        w = [rng.choice(words) for _ in range(rng.randint(5, 80))]
+        toxic = rng.random() < 0.3
+        for _ in range(3 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        out.append((i, " ".join(w), int(toxic)))
+    return out
+
+
+def test_toxicity(spark):
+    rng = random.Random(8)
+    made = labelled(rng, vocabulary(rng), ["vile", "ROTTEN", "foul"], 900)
+    made += [(900, None, None), (901, "", 0), (902, "vile " * 30_000, 1)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in made], "doc_id long, text string, held_out string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in made], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(got) == len(made)
+    right = 0
+    for i, _, y in made:
+        r = got[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        right += r.held_out and r.predicted == (y or 0)
+    assert right >= 0.95 * sum(r.held_out for r in got.values())
+    # labels of held-out rows change nothing
+    other = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {r.doc_id: r.score for r in toxicity.toxicity(docs, other).collect()} == {i: r.score for i, r in got.items()}
+    none = toxicity.toxicity(docs, labels.where("false")).collect()
+    assert all(abs(r.score - 0.25) < 1e-9 for r in none) and len(none) == len(made)
+
+
+def brute_targets(size):
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    full, budget = set(), 1.5 * sum(size.values())
+    while True:
+        left = budget - sum(2 * size[s] for s in full)
+        rest = [s for s in names if s not in full]
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        more = {s for s in rest if share[s] >= 2 * size[s]}
+        if not more:
+            return {s: share.get(s, 2.0 * size[s]) for s in names}
+        full |= more
+        if len(full) == len(names):
+            return {s: 2.0 * size[s] for s in names}
+
+
+def test_mixing(docs, rows):
+    size, longest = Counter(), 0
+    for r in rows:
+        n = len(WORD.findall(r[1] or ""))
+        size[r[3]] += n
+        longest = max(longest, n)
+    want = brute_targets(size)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    taken, most = Counter(), Counter()
+    for r in got:
+        assert r.size * r.copies == r.taken and 0 <= r.copies <= 2 and r.source_size == size[r.source]
+        assert abs(r.target - want[r.source]) < 1e-6 * (1 + want[r.source])
+        taken[r.source] += r.taken
+        most[r.source] = max(most[r.source], r.size)
+    for s in size:
+        # the number of an id decides; repeated ids go together
+        assert abs(taken[s] - want[s]) <= max(most[s], 3 * 120)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
+    repeated = mixing.mixed(docs)
+    assert repeated.columns == docs.columns
+    assert Counter(r.doc_id for r in repeated.collect()) == Counter({k: v for k, v in sum((Counter({r.doc_id: r.copies}) for r in got), Counter()).items() if v})
+
+
+def test_licenses(spark):
+    mit = licenses.SENTENCES["mit-grant"], licenses.SENTENCES["mit-notice"]
+    wrapped = "\n".join(re.sub(r"(.{40,60}?) ", r"\1\n", s) for s in mit)
+    bsd = [licenses.SENTENCES[k] for k in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")]
+    made = [
+        (1, "Words.\nLicensed under CC BY-NC 4.0."), (2, "LICENSED!! UNDER!! THE!! APACHE!! LICENSE,!! VERSION!! 2.0."), (3, f"My title\n{wrapped}\nThe end."), (4, mit[1] + "\n" + mit[0]),
+        (5, "\n".join(bsd)), (6, "\n".join(bsd[:3])), (7, "I like the license of software."), (8, None), (9, ""), (10, "Released under the MIT License.\nReleased under the MIT License.\n" + "x license " * 5000),
+        (11, f"{mit[0]} Something else stands between. {mit[1]}"), (11, "SPDX-License-Identifier: Apache-2.0"),
+    ]
+    got = licenses.scan(spark.createDataFrame([(*r, "a", 1) for r in made], "doc_id long, text string, row string, at int")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "CC-BY-NC-4.0"), (2, "Apache-2.0"), (3, "MIT"), (5, "BSD-3-Clause"), (6, "BSD-2-Clause"), (10, "MIT"), (11, "Apache-2.0"), (11, "MIT")]
+    for s in licenses.SENTENCES.values():
+        assert any(c in s.lower() for c in licenses.CUES)
+
+
+def test_warc(spark, tmp_path):
+    big = "WARC/1.1\r\nContent-Length: 5\r\n\r\n" + "<p>é</p>\r\n\r\n" * 200
+    made = [(1, "http://a", "x" * 1000), (2, "http://b", "x" * 1000), (9, "http://c", "x" * 1000), (3, None, big), (4, "u\r\nX: 1", big), (5, "d", "short"), (6, "e", "short"), (7, "f", None), (8, "g", ""), (2, "again", "x" * 1000), (None, "n", "no id"), (12, "l", "y" * 3_000_000)]
+    pages = spark.createDataFrame([(*r, "z") for r in made], "page_id long, url string, html string, sha string").repartition(3)
+    got = warc.archived(pages, path=str(tmp_path / "w")).collect()
+    want = Counter()
+    for i, _, h in made:
+        b = (h or "").encode()
+        top = max(j for j, _, g in made if g == h and j is not None) if len(b) >= 1000 else i
+        want[i, len(b), hashlib.sha1(b).hexdigest(), "response" if i == top else "revisit", None if i == top else top] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    records = warc.read_records(spark, str(tmp_path / "w"), blocks=True)
+    assert records.count() == 3 * len(made)
+    both = {bytes(r.response.block).split(b"\r\n\r\n", 1)[1] for r in warc.captures(records).where("kind = 'response'").collect()}
+    assert both == {(h or "").encode() for _, _, h in made}
+    lonely = records.where("kind IN ('response', 'revisit')")
+    assert warc.captures(lonely).where("request IS NOT NULL OR metadata IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+
+
+def brute_near(made, percent):
+    sets = defaultdict(list)
+    for i, t, *_ in made:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i].append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else []))
+    up = {i: i for i in sets if i is not None}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    every = [(i, s) for i, ss in sets.items() if i is not None for s in ss if s]
+    for n, (i, a) in enumerate(every):
+        for j, b in every[:n]:
+            if 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    return sets, {i: root(i) for i in up}
+
+
+@pytest.mark.parametrize("percent,limit", [(85, 1024), (80, 4), (85, 2)])
+def test_near(docs, rows, percent, limit):
+    sets, want = brute_near(rows, percent)
+    got = near_dedup.near_duplicates(docs, percent=percent, limit=limit).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    for r in got:
+        assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id == r.component_id) and r.n_shingles in {len(s) for s in sets[r.doc_id]}
+
+
+def test_near_group_of_many(spark):
+    """A group of near copies, chained so that far ends do not resemble each other, in chunks of a few."""
+    rng = random.Random(9)
+    words = vocabulary(rng)
+    text, made = [rng.choice(words) for _ in range(200)], []
+    for i in range(60):
+        made.append((100 - i, " ".join(text)))
+        text = list(text)
+        text[rng.randrange(200)] = rng.choice(words)
+    _, want = brute_near(made, 85)
+    got = near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), limit=5).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) < 10
+
+
+def test_estimate():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 1 << 63, 4000, dtype=np.uint64), rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    same = rng.random(4000) < 0.7
+    y[same] = x[same]
+    pack = lambda v: ((v & np.uint64(15))[::2].astype(np.uint8) << 4) | (v & np.uint64(15))[1::2].astype(np.uint8)
+    assert abs(near_dedup.estimate(pack(x), pack(y), 4000) - 0.7) < 0.04
+    assert all((1 - s**near_dedup.ROWS) ** near_dedup.bands_for(s) <= 1e-6 for s in (0.8, 0.85, 0.9))
+
+
+def test_components(spark):
+    rng = random.Random(10)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 3000 + i) for i in range(50)] + [(5, 5)]
+    up = {}
+    root = lambda x: x if up.setdefault(x, x) == x else root(up[x])
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
+    assert {r.node: r.component for r in got} == {x: root(x) for x in list(up)} and len(got) == len({r.node for r in got})
+
+
+TRAP = "\\### Assistant: </turn> ok"
+
+
+def test_chat(spark):
+    rng = random.Random(11)
+    bits = ["<turn role=x>\n", "</turn>\n", "\\", "\\b", "\\l", "<", "plain", "é😀", '"', "\n", "</turn", "\\lturn", ""]
+    made = [(c, t, rng.choice(["user", "assistant", "system", 'odd "role" >\n', None]), None if rng.random() < 0.1 else "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for c in range(40) for t in range(rng.randint(1, 9))]
+    made += [(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP), (50, 0, "system", "s"), (50, 1, "user", "u"), (50, 2, "assistant", "a"), (51, 1, "assistant", "b"), (51, 1, "assistant", "a"), (51, 0, "user", "x" * 100_000)]
+    turns = spark.createDataFrame([(*r, 1) for r in made], "conv_id long, turn long, role string, text string, id int")
+    out = chat.formatted(chat.canonical(chat.packed(turns))).select("id", "formatted", chat.read_back(F.col("formatted")).alias("t"), chat.masked(F.col("formatted"), F.col("spans")).alias("m")).collect()
+    want = defaultdict(list)
+    for c, t, role, text in made:
+        want[c].append((t, role or "", text or ""))
+    assert len(out) == len(want)
+    for r in out:
+        w = [x[1:] for x in sorted(want[r.id])]
+        assert [(t.role, t.text) for t in r.t] == w
+        assert r.m == "".join(t for role, t in w if role == "assistant")
+
+
+def test_layouts(spark):
+    made = [
+        (1, '{"prompt": "p", "response": "r"}', "prompt", [("user", "p"), ("assistant", "r")]),
+        (2, '{"instruction": "i", "input": "n", "output": "o"}', "instruction", [("user", "i"), ("user", "n"), ("assistant", "o")]),
+        (3, '{"output": null, "instruction": "i"}', "instruction", [("user", "i"), ("assistant", "")]),
+        (4, '{"conversations": [{"from": "human", "value": "h"}, {"value": "g", "from": "gpt"}]}', "conversations", [("user", "h"), ("assistant", "g")]),
+        (5, '{"messages": [{"role": "user", "content": "c"}, {"role": "assistant", "content": null}]}', "messages", [("user", "c"), ("assistant", "")]),
+        (6, '{"messages": []}', "messages", []),
+        (7, '{"prompt": "p", "completion": "c"}', "completion", [("user", "p"), ("assistant", "c")]),
+        (8, '{"other": {"deep": [1]}}', None, None),
+        (9, '{"prompt": {"nested": "p"}, "response": "r"}', None, None),
+    ]
+    got = chat.canonical(spark.createDataFrame([r[:2] for r in made], "id long, body string")).collect()
+    assert {r.id: (r.layout, r.turns and [tuple(t) for t in r.turns] if r.turns else r.turns) for r in got} == {i: (n, t) for i, _, n, t in made}
+
+
+def test_pii(spark):
+    made = [
+        (1, "Write to Ann.Lee@mail7.example.com or ann.lee@MAIL7.example.com, +1 (017) 555-7713.", "x"), (2, "+1 017 555 7713 and 4845 1681 1440 7329 and 4845168114407329!!", "x"), (3, "No data, 2024-01-01, v1.2.3.4.5, 12345", "x"),
+        (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" TOKEN "04DBEBAB91AB85687D33EEAAF9AC699E1188F962" 97.51.17.173', "x"), (5, "Mrs. Anna Schmidt and Mr. Schmidt; г-жа Иванова, г-н Петров.", "x"), (6, None, "x"), (7, "", "x"), (8, "078-05-1120 " * 3000, "x"),
+    ]
+    made += [(100 + i, f"a{i}@b.org 10.0.0.{i}", "x") for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, kinds string")
+    out = {r.doc_id: r for r in pii.rewrite(docs).collect()}
+    assert len(out) == len(made) and all(out[i].kinds == "x" for i in out)
+    assert {r.doc_id for r in pii.surrogates(docs).collect()} == {i for i, *_ in made} - {3, 6, 7}
+    for i in (3, 6, 7):
+        assert out[i].text == dict((r[0], r[1]) for r in made)[i] and out[i]._pii_n == 0
+    t = out[1].text
+    first, second = re.findall(r"\S+@\S+?(?=[ ,])", t)
+    assert first.lower() == second.lower() and "ann" not in first.lower() and re.fullmatch(r"[a-z]{3}\.[a-z]{3}@[a-z]{6}\.example\.com", first.lower())
+    phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", t)[0]
+    assert re.sub(r"\D", "", phone) in re.sub(r"[^\d+]", "", out[2].text.split(" and ")[0])
+    cards = [re.sub(r"\D", "", x) for x in out[2].text.split(" and ")[1:]]
+    assert cards[0] == cards[1] != "4845168114407329" and out[2].text.endswith("!!")
+    low, up = re.findall(r'"(\w+)"', out[4].text)
+    assert low == up.lower() and low.islower() and up.isupper() and len(low) == 40
+    names = re.fullmatch(r"Mrs\. (\w+a) (\w+) and Mr\. (\w+); г-жа (\w+ова), г-н (\w+ков)\.", out[5].text)
+    assert names and names[2] == names[3] and "Schmidt" not in out[5].text
+    assert len(set(out[8].text.split())) == 1 and len(out[8].text) == len(made[7][1])
+    # distinct stays distinct, and no surrogate is in the data
+    values = [w for i in range(200) for w in out[100 + i].text.split()]
+    assert len(set(values)) == 400 and not set(values) & {w for r in made[-200:] for w in r[1].split()}
+    again = {r.doc_id: r.text for r in pii.rewrite(docs).collect()}
+    assert again == {i: r.text for i, r in out.items()}
+    assert pii.rewrite(docs, key="other").where("doc_id = 2").first().text != out[2].text
+
+
+def test_pii_collisions(spark, monkeypatch):
+    """With room for few surrogates, attempts go on until all differ."""
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda k, c, a, key: F.when(a < 6, F.concat(F.lit("1.1.1."), F.pmod(F.xxhash64(c, a), F.lit(40)).cast("string"))).otherwise(real(k, c, a, key)))
+    parts = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(60)], "kind string, canon string")
+    got = pii.entities(parts, "key").collect()
+    assert len({r.value for r in got}) == 60 == len(got) and not {r.value for r in got} & {r.canon for r in got}
+
+
+def least_capacity(sizes, shards):
+    lo, hi = max(sizes), sum(sizes)
+    while lo < hi:
+        mid, used, now = (lo + hi) // 2, 1, 0
+        for s in sizes:
+            if now + s > mid:
+                used, now = used + 1, 0
+            now += s
+        lo, hi = (lo, mid) if used <= shards else (mid + 1, hi)
+    return lo
+
+
+@pytest.mark.parametrize("bits", [3, 10])
+def test_sharding(spark, docs, rows, bits, monkeypatch):
+    monkeypatch.setattr(sharding, "BITS", bits)
+    key = {r.t: r.k for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()}
+    groups = Counter()
+    for r in rows:
+        groups[key[r[1] or ""]] += len((r[1] or "").encode()) + 1
+    got = sharding.shard_documents(docs).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    load, slots, of = Counter(), defaultdict(list), defaultdict(set)
+    for r in got:
+        assert r.law == "bytes" and 0 <= r.shard < 8 and r.grown_shard is None
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        of[r.text_crc32].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in of.values())
+    assert max(load.values()) == least_capacity([groups[k] for k in sorted(groups)], 8)
+
+
+def test_cut_keys(spark):
+    rng = random.Random(12)
+    for n in (1, 3, 8, 300):
+        made = [(rng.randint(-(1 << 63), (1 << 63) - 1), rng.choice([1, 5, 100, 3000])) for _ in range(n)]
+        cuts = sharding.cut_keys(spark.createDataFrame(made, "key long, size long"), 8)
+        load = Counter()
+        for k, s in made:
+            load[sum(k >= c for c in cuts)] += s
+        assert len(cuts) < 8 and max(load.values()) == least_capacity([s for _, s in sorted(made)], 8)
+
+
+def test_decontamination(spark):
+    rng = random.Random(13)
+    words = vocabulary(rng, 3000)
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [text(rng.randint(14, 50)) for _ in range(40)]
+    made, want = [], {}
+    for d in range(200):
+        w = text(rng.randint(0, 300))
+        if d % 4 == 0:
+            k = rng.randrange(40)
+            copy = [rng.choice(words) if rng.random() < (0.0, 0.1, 0.15)[d % 3] else x for x in items[k]]
+            if d % 8 == 0:
+                copy = [x.upper() + "!!" for x in copy]
+            if d % 5 == 0:
+                del copy[5]
+            at = rng.randint(0, len(w))
+            w[at:at] = copy
+            if brute_align(items[k], [x.lower().rstrip("!") for x in w]) >= decontamination.LEAST * len(items[k]):
+                want[d] = k
+        made.append((d, " ".join(w)))
+    made += [(300, None), (301, ""), (302, " ".join(text(50_000)))] + [(400 + i, " ".join(items[0])) for i in range(150)]
+    assert len(want) > 40
+    want |= {400 + i: 0 for i in range(150)}
+    docs = spark.createDataFrame([(*r, 0.5, 1) for r in made], "doc_id long, text string, score double, item int").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(98, None), (99, "...")], "item_id long, text string")
+    got = decontamination.contaminated(docs, bench).collect()
+    assert {r.doc_id: r.item_id for r in got} == want and len(got) == len(want)
+    assert all(0.5 <= r.score <= 1 and (r.doc_id < 400 or r.score == 1) for r in got)
+
+
+def brute_align(a, b):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (1 if x == y else -0.5), row[j + 1] - 0.5, new[j] - 0.5))
+        best, row = max(best, *new), new
+    return best
+
+
+def test_align():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = rng.integers(0, 6, rng.integers(1, 20)), rng.integers(0, 6, rng.integers(1, 40))
+        score, lo, hi = decontamination.align(a, b)
+        assert score == brute_align(a, b)
+        assert brute_align(a, b[lo:hi]) == score
+
+
+def test_benchmark_in_slices(spark, monkeypatch):
+    rng = random.Random(14)
+    words = vocabulary(rng, 2000)
+    items = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, "start here " + t + " the end") for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(decontamination, "MAX_ITEMS", 5)
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()) == [(i, i) for i in range(12)]
