@@ -2,8 +2,9 @@
 
 Words are runs of ASCII letters, digits and other characters, lower-cased; so punctuation, capitals and
 markup between words do not matter. A first pass counts, over all documents, in how many each n-gram of the
-test items occurs. Of each WINDOW neighbouring n-grams of an item the one in the fewest documents is a seed, so
-every stretch of an item has one, however common its passage is in the corpus. A second pass finds the seeds
+test items occurs. Those in few documents are seeds; and of each WINDOW neighbouring n-grams of an item that
+occur at all, the one in the fewest documents is, so every stretch of an item has one, however common its
+passage is in the corpus. A second pass finds the seeds
 in each document and aligns the item with the passage around them: +1 for an equal word, -1/2 for another or a
 missing one. The best score, as a share of the item's words, is reported from ``least`` on.
 
@@ -28,6 +29,8 @@ from . import words as W
 from .common import filled, save
 
 N, WINDOW, SLACK = 3, 3, 8
+#: An n-gram is rare in so many documents, or in this share of all.
+RARE_DOCS, RARE_SHARE = 1000, 0.001
 MAX_ITEMS = 20_000
 LEAST = 0.5
 
@@ -70,14 +73,17 @@ class Items:
         self.gram = self.gram.astype(np.uint64)
         self.all = np.unique(self.gram)
 
-    def seeded(self, count: np.ndarray) -> Items:
-        """Keep, of each WINDOW neighbouring n-grams, the one in the fewest documents (the first of equals)."""
-        keep = np.zeros(len(self.gram), bool)
-        c = count[np.searchsorted(self.all, self.gram)] if len(self.gram) else self.gram
+    def seeded(self, count: np.ndarray, docs: int) -> Items:
+        """Keep the n-grams that are rare among so many documents, and of each WINDOW neighbouring ones that
+        occur at all the one in the fewest (the first of equals)."""
+        most = np.iinfo(np.int64).max
+        c = np.where(count > 0, count, most)[np.searchsorted(self.all, self.gram)] if len(self.gram) else np.zeros(0, np.int64)
+        keep = c <= max(RARE_DOCS, docs * RARE_SHARE)
         for k in np.unique(self.item):
             lo, hi = np.searchsorted(self.item, [k, k + 1])
             for i in range(lo, max(lo + 1, hi - WINDOW + 1)):
-                keep[i + int(np.argmin(c[i : min(hi, i + WINDOW)]))] = True
+                best = i + int(np.argmin(c[i : min(hi, i + WINDOW)]))
+                keep[best] = c[best] < most
         order = np.flatnonzero(keep)[np.argsort(self.gram[keep], kind="stable")]
         self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
         self.all, self.start = np.unique(self.gram, return_index=True)
@@ -152,8 +158,9 @@ def _slice(spark, rows: DataFrame, items: Items, least: float) -> DataFrame:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = grams.value
-        count = np.zeros(len(wanted), np.int64)
+        count, rows = np.zeros(len(wanted), np.int64), 0
         for batch in batches:
+            rows += batch.num_rows
             data, ends = W.texts(batch.column(1))
             for i, j in W.blocks(ends):
                 h, _, _, at = W.word_hashes(data, ends[i : j + 1], lower=True, inner=True)
@@ -163,13 +170,16 @@ def _slice(spark, rows: DataFrame, items: Items, least: float) -> DataFrame:
                 doc = np.searchsorted(at, np.flatnonzero(is_in & whole), "right") - 1
                 count += np.bincount(np.unique(doc * len(wanted) + k) % max(1, len(wanted)), minlength=len(wanted))
         k = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(count[k])], ["gram", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(count[k], rows))], ["gram", "docs"])
 
-    count = np.zeros(len(items.all), np.int64)
+    count, total = np.zeros(len(items.all), np.int64), 0
     if len(items.all):
         for r in rows.mapInArrow(tally, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect():
-            count[r.gram] = r.docs
-    sent = spark.sparkContext.broadcast(items.seeded(count))
+            if r.gram < 0:
+                total = r.docs
+            else:
+                count[r.gram] = r.docs
+    sent = spark.sparkContext.broadcast(items.seeded(count, total))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = sent.value
