@@ -170,6 +170,7 @@ def _slice(spark, rows: DataFrame, items: Items, least: float) -> DataFrame:
                 doc = np.searchsorted(at, np.flatnonzero(is_in & whole), "right") - 1
                 count += np.bincount(np.unique(doc * len(wanted) + k) % max(1, len(wanted)), minlength=len(wanted))
         k = np.flatnonzero(count)
+        W.give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(count[k], rows))], ["gram", "docs"])
 
     count, total = np.zeros(len(items.all), np.int64), 0

@@ -92,6 +92,7 @@ def signatures(docs: DataFrame, bands: int, id_col: str, text_col: str) -> DataF
                 ],
                 ["doc", "n", "set_a", "set_b", "bands", "bits"],
             )
+        W.give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), filled(F.col(text_col).cast("string")).alias("text"))
     return rows.mapInArrow(sign, "doc long, n long, set_a long, set_b long, bands array<long>, bits binary")
@@ -177,6 +178,7 @@ def full_sets(rows: DataFrame) -> DataFrame:
                 h, _, _, at = W.word_hashes(data, ends[i : j + 1], lower=True)
                 out += [np.unique(W.shingles(h[at[k] : at[k + 1]], SHINGLE)).tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["gid", "lead", "chunks", "doc", "full"])
+        W.give_back()
 
     return rows.select("gid", "lead", "chunks", "doc", "text").mapInArrow(shingle, "gid long, lead long, chunks int, doc long, full binary")
 

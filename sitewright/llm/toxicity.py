@@ -29,7 +29,7 @@ from . import words as W
 from .common import filled, save
 
 BITS = 20
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.lower(filled(F.col(text_col).cast("string"))).alias("text"))
 
 
-def learn(it: Iterator[tuple[np.ndarray, int]], count: int, how: Ftrl) -> Weights:
+def learn(it: Iterator[tuple[np.ndarray, int]], how: Ftrl) -> Weights:
     """FTRL-proximal over (features, label) in order, ``passes`` times."""
     data = list(it)
     n, z = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -114,10 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                for y, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    yield np.frombuffer(x, np.uint32), y
+                for y, x in zip(b.column(1).to_pylist(), W.binaries(b.column(2)), strict=True):
+                    yield x.view(np.uint32), y
 
-        w = learn(rows(), 0, how)
+        w = learn(rows(), how)
+        W.give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, w.place)), pa.array(np.append(w.bias, w.value))], ["place", "value"])
 
     got = made.repartition(1).sortWithinPartitions("order", "y", "x").mapInArrow(train, "place long, value double").collect()
@@ -145,6 +146,7 @@ def score(docs: DataFrame, weights: Weights, text_col: str = "text", score_col:
             total = sent.value.bias + (np.concatenate(out) if out else np.zeros(0))
             value = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], value], [*batch.schema.names[:-1], score_col])
+        W.give_back()
 
     rows = docs.select("*", F.lower(filled(F.col(text_col).cast("string"))).alias("_toxicity_text"))
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])

@@ -1,19 +1,21 @@
 """Words and shingles of Arrow text columns, by NumPy over the bytes: no Python object for a word is made.
 
 A word's hash is the polynomial of its bytes modulo 2**64, mixed; prefix sums give all words of a block at
-once. Blocks are about a megabyte, so memory does not depend on the size of an Arrow batch; one text longer
-than that is a block of its own.
+once. Blocks are about a quarter of a megabyte, so memory does not depend on the size of an Arrow batch; one text
+longer than that is a block of its own.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -54,6 +56,23 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends
 
 
+def binaries(column: pa.Array) -> list[np.ndarray]:
+    """The bytes of each row of a binary column, without a copy."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(ends: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``size`` bytes."""
     i, n = 0, len(ends) - 1
