@@ -29,7 +29,7 @@ from . import words as W
 from .common import filled, save
 
 BITS = 20
-FIT_ROWS = 10_000
+FIT_ROWS = 16_000
 
 
 @dataclass(frozen=True)
