@@ -25,7 +25,7 @@ def chunked(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def reference_bases(sites: DataFrame, reference: DataFrame, contigs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Adds chrom and ref (upper case). A site outside its contig is an error."""
-    named = sites.join(F.broadcast(contigs.select("ref_id", F.col("name").alias("chrom"))), "ref_id")
+    named = sites.join(contigs.select("ref_id", F.col("name").alias("chrom")), "ref_id")
     named = named.withColumn("chunk_id", F.expr(f"(pos - 1) div {chunk}"))
     rows = reference.select(F.col("name").alias("chrom"), "chunk_id", F.col("seq").alias("chunk_seq"))
     few = rows.limit(BROADCAST_ROWS // 1000 + 1).count() <= BROADCAST_ROWS // 1000

@@ -12,6 +12,8 @@ from ..functions.cigar import blocks
 SKIPPED_FLAGS = 0xF04
 #: Dimension tables of more rows than this are shuffled, not broadcast.
 BROADCAST_ROWS = 500_000
+#: Bits of a position within the bins by which blocks meet targets: a genome of targets stays below the limit.
+BIN = 13
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -38,7 +40,7 @@ def with_sample(reads: DataFrame, read_groups: DataFrame, samples: DataFrame) ->
     marks it by a leading NUL) is an error."""
     bad = F.raise_error(F.concat(F.lit("read group of an unexpected type: "), F.substring("rg", 2, 1))).cast("string")
     reads = reads.withColumn("rg", F.when(F.col("rg").startswith("\0"), bad).otherwise(F.col("rg")))
-    return lookup(reads, read_groups.where("sample IS NOT NULL").join(F.broadcast(samples), "sample").select("rg", "sample_idx"), ["rg"])
+    return lookup(reads, read_groups.where("sample IS NOT NULL").join(samples, "sample").select("rg", "sample_idx"), ["rg"])
 
 
 def without_sample(reads: DataFrame, read_groups: DataFrame) -> DataFrame:
@@ -64,17 +66,13 @@ def aligned_blocks(reads: DataFrame) -> DataFrame:
 
 def clipped(blocks_: DataFrame, targets: DataFrame) -> DataFrame:
     """Blocks cut to the merged targets they overlap, before any base is expanded. Merged targets are disjoint,
-    so no base comes twice. Targets beyond the broadcast limit are joined by bins of 2**14 bases."""
-    t = targets.select("ref_id", F.col("start").alias("ts"), F.col("end").alias("te"))
-    overlap = (F.col("bs") < F.col("te")) & (F.col("be") > F.col("ts"))
-    if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        both = blocks_.join(F.broadcast(t), ["ref_id"]).where(overlap)
-        return both.withColumns({"lo": F.greatest("bs", "ts"), "hi": F.least("be", "te")}).drop("ts", "te")
-    bins = lambda a, b: F.explode(F.sequence(F.shiftright(a, 14), F.shiftright(F.col(b) - 1, 14)))
-    both = blocks_.withColumn("bin", bins("bs", "be")).join(t.withColumn("bin", bins("ts", "te")), ["ref_id", "bin"]).where(overlap)
-    # a pair that shares several bins counts in the first of them
-    first = F.shiftright(F.greatest("bs", "ts"), 14) == F.col("bin")
-    return both.where(first).withColumns({"lo": F.greatest("bs", "ts"), "hi": F.least("be", "te")}).drop("ts", "te", "bin")
+    so no base comes twice. Both sides are keyed by bins of 2**BIN bases, so a block meets the targets near it
+    and not all of its contig; a pair that shares several bins counts in the first of them."""
+    bins = lambda a, b: F.explode(F.sequence(F.shiftright(a, BIN), F.shiftright(F.col(b) - 1, BIN)))
+    t = targets.select("ref_id", F.col("start").alias("ts"), F.col("end").alias("te")).withColumn("bin", bins("ts", "te"))
+    both = lookup(blocks_.withColumn("bin", bins("bs", "be")), t, ["ref_id", "bin"])
+    lo, hi = F.greatest("bs", "ts"), F.least("be", "te")
+    return both.where((lo < hi) & (F.shiftright(lo, BIN) == F.col("bin"))).withColumns({"lo": lo, "hi": hi}).drop("ts", "te", "bin")
 
 
 def observations(clips: DataFrame, min_baseq: int) -> DataFrame:
