@@ -1,0 +1 @@
+"""Nothing here is a stream: the calls are batch queries, and no operator of the inventory has state over time."""
