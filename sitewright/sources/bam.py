@@ -156,29 +156,49 @@ def _sensible(data: bytes, at: int, contigs: Sequence[tuple[str, int]]) -> int |
     return at + 4 + size
 
 
-def first_record(fh, start: int, size: int, contigs: Sequence[tuple[str, int]]) -> int | None:
-    """Virtual offset of the first record that begins in a block at or after start, or None at the end."""
-    fh.seek(start)
-    window = fh.read(1 << 17)
-    for m in re.finditer(rb"\x1f\x8b\x08\x04", window):
-        try:
-            s = _Stream(fh, start + m.start())
+def _chain(s: _Stream, at: int, contigs: Sequence[tuple[str, int]]) -> bool:
+    """Whether CHAIN records that make sense, or fewer up to the end of the file, begin at a place."""
+    for seen in range(CHAIN):
+        while len(s.data) < at + 36:
             if not s.more():
-                return None
-            while len(s.data) < 1 << 18 and s.more():
-                pass
-        except (ValueError, struct.error, zlib.error):
-            continue
-        block = s.spans[0][2]
-        for at in range(len(s.data)):
-            end, seen = at, 0
-            while seen < CHAIN and end is not None and end < len(s.data):
-                end = _sensible(s.data, end, contigs)
-                seen += end is not None
-            if end is not None and (seen == CHAIN or (seen and end >= len(s.data) and not s.need(len(s.data) - s.at + 1)) or (seen and end > len(s.data))):
-                s.at = at
-                return s.tell() if at >= block else s.spans[0][1] << 16 | at
-        return None
+                return seen > 0 and at == len(s.data)
+        end = _sensible(s.data, at, contigs)
+        if end is None:
+            return False
+        while len(s.data) < end:
+            if not s.more():
+                return False
+        if _sensible(s.data, at, contigs) is None:  # the name and the operations are all there now
+            return False
+        at = end
+    return True
+
+
+def first_record(fh, start: int, stop: int, contigs: Sequence[tuple[str, int]]) -> int | None:
+    """Virtual offset of the first record that begins in a block from start on and before stop. A record may
+    span many blocks, so blocks without a beginning are passed over."""
+    while start < stop:
+        fh.seek(start)
+        window = fh.read(1 << 17)
+        found = None
+        for m in re.finditer(rb"\x1f\x8b\x08\x04", window):
+            size = bgzf.block_size(window[m.start() : m.start() + 64])
+            try:
+                if size and next(bgzf.blocks(fh, start + m.start())):
+                    found = start + m.start()
+                    break
+            except (ValueError, struct.error, zlib.error):
+                continue
+        if found is None or found >= stop:
+            return None
+        s = _Stream(fh, found)
+        if not s.more():
+            return None
+        block = len(s.data)
+        for at in range(block if s.spans[0][1] == found else 0):
+            if _chain(s, at, contigs):
+                return found << 16 | at
+        start = found + size
     return None
 
 

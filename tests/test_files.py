@@ -58,6 +58,15 @@ def test_bam_splits(spark, data, split):
         assert [ord(c) - 33 for c in g.qual] == r["qual"]
 
 
+@pytest.mark.parametrize("split", [1500, 9000])
+def test_records_longer_than_splits(spark, tmp_path, split):
+    rng = random.Random(15)
+    long = [{"ref": 0, "pos": 1 + i, "flag": 0, "mapq": 60, "rg": "g", "cigar": f"{n}M", "seq": "".join(rng.choice("ACGT") for _ in range(n)), "qual": [rng.randint(0, 40) for _ in range(n)]} for i, n in enumerate([6000, 20, 9000, 3000, 1, 7000])]
+    write_bam(tmp_path / "long.bam", CONTIGS, [("g", "s")], long)
+    got = bam.read_alignments(spark, [str(tmp_path / "long.bam")], split).orderBy("ord").collect()
+    assert [(r.pos, r.seq) for r in got] == [(r["pos"], r["seq"]) for r in long]
+
+
 def test_bam_header(data):
     h = bam.read_header(data["paths"][0])
     assert list(h.contigs) == CONTIGS and dict(h.read_groups) == data["groups"]
