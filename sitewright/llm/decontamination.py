@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import filled, save
+from .common import filled, save, short_batches
 
 N, WINDOW, SLACK = 3, 3, 8
 #: An n-gram is rare in so many documents, or in this share of all.
@@ -140,6 +140,7 @@ def _match(items: Items, words: np.ndarray, hit: np.ndarray, place: np.ndarray,
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, item_id, score (0 to 1), first_word, end_word, seeds: one row for each document and item that match."""
+    short_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(filled(F.col(text_col).cast("string"))).alias("text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.lower(filled(F.col(item_text).cast("string"))).alias("text"))

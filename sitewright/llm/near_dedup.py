@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import filled, joined, save
+from .common import filled, joined, save, short_batches
 from .graph import FEW, Sets, components, link_groups, sized
 
 SHINGLE, ROWS, BITS = 5, 5, 4
@@ -185,6 +185,7 @@ def full_sets(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, limit: int = LIMIT) -> DataFrame:
     """id, n_shingles, component_id, kept for each row."""
+    short_batches(docs.sparkSession)
     bands = bands_for(percent / 100)
     hashes = bands * ROWS
     signed = save(signatures(docs, bands, id_col, text_col), "near-signatures")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import filled, save
+from .common import filled, save, short_batches
 
 BITS = 20
 FIT_ROWS = 16_000
@@ -90,6 +90,7 @@ def learn(it: Iterator[tuple[np.ndarray, int]], how: Ftrl) -> Weights:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, how: Ftrl = Ftrl()) -> Weights:
     """Weights from the labelled texts of a bounded sample, in one task; their features are made in many."""
+    short_batches(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("fit"))
     # the id and the label alone are ordered; the texts of the chosen rows follow
@@ -128,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, weights: Weights, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The rows with their scores; no column is lost, and no row moves."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
