@@ -50,9 +50,9 @@ def short_batches(spark: SparkSession) -> None:
     """Texts may be long: what JVM and Python hold of them at once is a batch, so batches are kept to 500 rows
     and 4 MB (a longer text is a batch of its own) where the session would allow more."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        now = spark.conf.get(key, "0")
+        now = spark.conf.get(key).rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, most)
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
