@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and other characters, lower-cased; so punctuation, capitals and
-markup between words do not matter. A first pass counts, over all documents, in how many each n-gram of the
-test items occurs. Those in few documents are seeds; and of each WINDOW neighbouring n-grams of an item that
-occur at all, the one in the fewest documents is, so every stretch of an item has one, however common its
-passage is in the corpus. A second pass finds the seeds
+markup between words do not matter. All n-grams of the items are seeds, however common they are, so what is
+found in a document does not depend on the other documents. One pass finds the seeds
 in each document and aligns the item with the passage around them: +1 for an equal word, -1/2 for another or a
-missing one. The best score, as a share of the item's words, is reported from ``least`` on.
+missing one. The best score, as a share of the item's words, is reported from ``least`` on. A passage is
+aligned only where its words that the item has, less half of the others, could come to that score.
 
 The items are the side that is sent to every task. They are taken MAX_ITEMS at a time, each slice with its own
-two passes, so what is sent stays bounded whatever their number; texts are never shuffled.
+pass, so what is sent stays bounded whatever their number; texts are never shuffled.
 
 A null text counts as empty; an item without words matches nothing; one with fewer words than an n-gram is one
 n-gram. Items with equal texts each match. Rows with equal ids are reported each. Without documents or items
@@ -28,9 +27,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import filled, save, short_batches
 
-N, WINDOW, SLACK = 3, 3, 8
-#: An n-gram is rare in so many documents, or in this share of all.
-RARE_DOCS, RARE_SHARE = 1000, 0.001
+N, SLACK = 3, 8
 MAX_ITEMS = 20_000
 LEAST = 0.5
 
@@ -70,25 +67,10 @@ class Items:
             item.append(np.full(len(g), k))
             place.append(np.arange(len(g)))
         self.gram, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, item, place))
-        self.gram = self.gram.astype(np.uint64)
-        self.all = np.unique(self.gram)
-
-    def seeded(self, count: np.ndarray, docs: int) -> Items:
-        """Keep the n-grams that are rare among so many documents, and of each WINDOW neighbouring ones that
-        occur at all the one in the fewest (the first of equals)."""
-        most = np.iinfo(np.int64).max
-        c = np.where(count > 0, count, most)[np.searchsorted(self.all, self.gram)] if len(self.gram) else np.zeros(0, np.int64)
-        keep = c <= max(RARE_DOCS, docs * RARE_SHARE)
-        for k in np.unique(self.item):
-            lo, hi = np.searchsorted(self.item, [k, k + 1])
-            for i in range(lo, max(lo + 1, hi - WINDOW + 1)):
-                best = i + int(np.argmin(c[i : min(hi, i + WINDOW)]))
-                keep[best] = c[best] < most
-        order = np.flatnonzero(keep)[np.argsort(self.gram[keep], kind="stable")]
-        self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
+        order = np.argsort(self.gram.astype(np.uint64), kind="stable")
+        self.gram, self.item, self.place = self.gram.astype(np.uint64)[order], self.item[order], self.place[order]
         self.all, self.start = np.unique(self.gram, return_index=True)
         self.start = np.append(self.start, len(self.gram))
-        return self
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -115,6 +97,12 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best, lo, hi
 
 
+def most_score(item: np.ndarray, passage: np.ndarray) -> float:
+    """No alignment scores more: the best stretch of the passage, +1 for a word of the item, -1/2 for another."""
+    total = np.cumsum(np.where(np.isin(passage, item), 1.0, -0.5))
+    return float(np.max(total - np.minimum(0, np.minimum.accumulate(total)), initial=0))
+
+
 def _match(items: Items, words: np.ndarray, hit: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int, int]]:
     """One row's matches: item, score, first word, end, seeds. hit: indexes into items.all; place: their words."""
     reps = items.start[hit + 1] - items.start[hit]
@@ -129,7 +117,7 @@ def _match(items: Items, words: np.ndarray, hit: np.ndarray, place: np.ndarray,
         own = items.words[k]
         lo, hi = max(0, int(slant[i]) - SLACK), min(len(words), int(slant[j - 1]) + len(own) + SLACK)
         passage = words[lo:hi]
-        if np.isin(own, passage).sum() < least * len(own):
+        if most_score(own, passage) < least * len(own):
             continue
         score, a, b = align(own, passage)
         if score >= least * len(own) and (k not in best or score > best[k][0]):
@@ -155,33 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _slice(spark, rows: DataFrame, items: Items, least: float) -> DataFrame:
-    grams = spark.sparkContext.broadcast(items.all)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = grams.value
-        count, rows = np.zeros(len(wanted), np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            data, ends = W.texts(batch.column(1))
-            for i, j in W.blocks(ends):
-                h, _, _, at = W.word_hashes(data, ends[i : j + 1], lower=True, inner=True)
-                g, whole = grams_of(h, at)
-                k, is_in = W.find(wanted, g)
-                k = k[is_in & whole]
-                doc = np.searchsorted(at, np.flatnonzero(is_in & whole), "right") - 1
-                count += np.bincount(np.unique(doc * len(wanted) + k) % max(1, len(wanted)), minlength=len(wanted))
-        k = np.flatnonzero(count)
-        W.give_back()
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(count[k], rows))], ["gram", "docs"])
-
-    count, total = np.zeros(len(items.all), np.int64), 0
-    if len(items.all):
-        for r in rows.mapInArrow(tally, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect():
-            if r.gram < 0:
-                total = r.docs
-            else:
-                count[r.gram] = r.docs
-    sent = spark.sparkContext.broadcast(items.seeded(count, total))
+    sent = spark.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = sent.value

@@ -450,3 +450,16 @@ def test_benchmark_in_slices(spark, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     monkeypatch.setattr(decontamination, "MAX_ITEMS", 5)
     assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()) == [(i, i) for i in range(12)]
+
+
+def test_edited_copy_beside_many(spark):
+    """Of two items with 1,500 exact copies each, a copy with every 4th or 5th word replaced is found too."""
+    rng = random.Random(15)
+    words = vocabulary(rng, 3000)
+    items = {n: [rng.choice(words) for _ in range(40)] for n in (4, 5)}
+    edited = {9000 + n: [f"other{i}" if i % n == n - 1 else w for i, w in enumerate(item)] for n, item in items.items()}
+    made = [(i, " ".join(items[4 + i % 2])) for i in range(3000)] + [(i, " ".join(w)) for i, w in edited.items()]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(made, "doc_id long, text string").coalesce(4), bench).collect()
+    want = {i: (4 + i % 2, 1.0) for i in range(3000)} | {9000 + n: (n, brute_align(items[n], edited[9000 + n]) / 40) for n in items}
+    assert {r.doc_id: (r.item_id, r.score) for r in got} == want and len(got) == len(want)
