@@ -5,7 +5,8 @@ markup between words do not matter. All n-grams of the items are seeds, however
 found in a document does not depend on the other documents. One pass finds the seeds
 in each document and aligns the item with the passage around them: +1 for an equal word, -1/2 for another or a
 missing one. The best score, as a share of the item's words, is reported from ``least`` on. A passage is
-aligned only where its words that the item has, less half of the others, could come to that score.
+aligned only where its words that the item has, less half of the others, could come to that score. Seeds belong
+to one passage while the gaps that ``least`` allows could lie between them, 2 * (1 - least) * its words.
 
 The items are the side that is sent to every task. They are taken MAX_ITEMS at a time, each slice with its own
 pass, so what is sent stays bounded whatever their number; texts are never shuffled.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import filled, save, short_batches
 
-N, SLACK = 3, 8
+N = 3
 MAX_ITEMS = 20_000
 LEAST = 0.5
 
@@ -56,6 +57,7 @@ class Items:
         words = [h[at[k] : at[k + 1]] for k in range(len(ids))]
         kept = [k for k, w in enumerate(words) if len(w)]
         self.ids, self.words = [ids[k] for k in kept], [words[k] for k in kept]
+        self.size = np.array([len(w) for w in self.words], np.int64)
         self.short = {}
         gram, item, place = [], [], []
         for k, w in enumerate(self.words):
@@ -110,12 +112,14 @@ def _match(items: Items, words: np.ndarray, hit: np.ndarray, place: np.ndarray,
     item, slant = items.item[entry], np.repeat(place, reps) - items.place[entry]
     order = np.lexsort((slant, item))
     item, slant = item[order], slant[order]
-    cuts = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (slant[1:] - slant[:-1] > SLACK)))
+    # an alignment that reaches `least` holds at most so many words that the item lacks
+    room = np.floor(2 * (1 - least) * items.size[item] + 1e-9).astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (slant[1:] - slant[:-1] > room[1:])))
     best: dict[int, tuple[float, int, int, int]] = {}
     for i, j in zip(cuts, np.append(cuts[1:], len(item)), strict=True):
         k = int(item[i])
         own = items.words[k]
-        lo, hi = max(0, int(slant[i]) - SLACK), min(len(words), int(slant[j - 1]) + len(own) + SLACK)
+        lo, hi = max(0, int(slant[i] - room[i])), min(len(words), int(slant[j - 1] + room[i]) + len(own))
         passage = words[lo:hi]
         if most_score(own, passage) < least * len(own):
             continue

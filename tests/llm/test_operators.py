@@ -463,3 +463,23 @@ def test_edited_copy_beside_many(spark):
     got = decontamination.contaminated(spark.createDataFrame(made, "doc_id long, text string").coalesce(4), bench).collect()
     want = {i: (4 + i % 2, 1.0) for i in range(3000)} | {9000 + n: (n, brute_align(items[n], edited[9000 + n]) / 40) for n in items}
     assert {r.doc_id: (r.item_id, r.score) for r in got} == want and len(got) == len(want)
+
+
+def test_copy_in_pieces():
+    """Pieces of an item with more other words between them than a few are aligned together."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    words = list(dict.fromkeys(vocabulary(rng, 3000)))
+    for size, gap in ((10, 10), (20, 19), (20, 20), (20, 21)):
+        item = rng.sample(words, 40)
+        doc = [f"before{i}" for i in range(30)]
+        for i in range(0, 40, size):
+            doc += item[i : i + size] + [f"x{i}y{k}" for k in range(gap)]
+        items = decontamination.Items([1], [" ".join(item)])
+        h, _, _, at = decontamination.W.word_hashes(*decontamination.W.texts(pa.array([" ".join(doc)])), lower=True, inner=True)
+        k, is_in = decontamination.W.find(items.all, decontamination.grams_of(h, at)[0])
+        got = list(decontamination._match(items, h, k[is_in], np.flatnonzero(is_in), 0.5))
+        best = brute_align(item, doc)
+        assert [m[:2] for m in got] == ([(0, best / 40)] if best >= 20 else [])
