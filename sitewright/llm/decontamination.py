@@ -11,8 +11,8 @@ to one passage while the gaps that ``least`` allows could lie between them, 2 *
 The items are the side that is sent to every task. They are taken MAX_ITEMS at a time, each slice with its own
 pass, so what is sent stays bounded whatever their number; texts are never shuffled.
 
-A null text counts as empty; an item without words matches nothing; one with fewer words than an n-gram is one
-n-gram. Items with equal texts each match. Rows with equal ids are reported each. Without documents or items
+A null text counts as empty; an item without words matches nothing; one with fewer words than an n-gram is
+found where all of them stand in a row. Items with equal texts each match. Rows with equal ids are reported each. Without documents or items
 the result is empty. Other columns are not read.
 """
 
@@ -33,16 +33,16 @@ MAX_ITEMS = 20_000
 LEAST = 0.5
 
 
-def grams_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the N-word runs that begin at each word, and whether they lie within one row."""
+def grams_of(words: np.ndarray, at: np.ndarray, size: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``size`` words that begin at each word, and whether they lie within one row."""
     n = len(words)
-    if n < N:
+    if n < size:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    total = np.full(n - N + 1, N, np.uint64)
-    for i in range(N):
-        total += words[i : n - N + 1 + i] * np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64))
-    whole = np.ones(n - N + 1, bool)
-    for i in range(1, N):
+    total = np.full(n - size + 1, size, np.uint64)
+    for i in range(size):
+        total += words[i : n - size + 1 + i] * np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64))
+    whole = np.ones(n - size + 1, bool)
+    for i in range(1, size):
         cut = at[1:-1] - i
         whole[cut[(cut >= 0) & (cut < len(whole))]] = False
     return W.mix(total), whole
@@ -63,7 +63,7 @@ class Items:
         for k, w in enumerate(self.words):
             g = W.shingles(w, N)
             if len(w) < N:
-                self.short.setdefault(w.tobytes(), []).append(k)
+                self.short.setdefault(len(w), {}).setdefault(int(g[0]), []).append(k)
                 continue
             gram.append(g)
             item.append(np.full(len(g), k))
@@ -166,10 +166,14 @@ def _slice(spark, rows: DataFrame, items: Items, least: float) -> DataFrame:
                     p = place[lo:hi]
                     for m in _match(it, h[at[d] : at[d + 1]], k[p], p - at[d], least):
                         out.append((ids[int(i + d)].as_py(), it.ids[m[0]], *m[1:]))
-                if it.short:
-                    for d in range(j - i):
-                        for m in it.short.get(h[at[d] : at[d + 1]].tobytes(), ()):
-                            out.append((ids[i + d].as_py(), it.ids[m], 1.0, 0, int(at[d + 1] - at[d]), 1))
+                for n, wanted in it.short.items():
+                    g, whole = grams_of(h, at, n)
+                    place = np.flatnonzero(W.find(np.array(sorted(wanted), np.uint64), g)[1] & whole)
+                    found: dict[tuple[int, int], list[int]] = {}
+                    for p, d in zip(place, np.searchsorted(at, place, "right") - 1, strict=True):
+                        found.setdefault((int(d), int(g[p])), []).append(int(p - at[d]))
+                    for (d, x), p in found.items():
+                        out += [(ids[i + d].as_py(), it.ids[m], 1.0, p[0], p[0] + n, len(p)) for m in wanted[x]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc", "item", "score", "first_word", "end_word", "seeds"])
 

@@ -483,3 +483,11 @@ def test_copy_in_pieces():
         got = list(decontamination._match(items, h, k[is_in], np.flatnonzero(is_in), 0.5))
         best = brute_align(item, doc)
         assert [m[:2] for m in got] == ([(0, best / 40)] if best >= 20 else [])
+
+
+def test_short_items(spark):
+    """Items of one and two words are found within documents, not across two of them."""
+    docs = spark.createDataFrame([(1, "so Alpha, beta it is; alpha beta"), (2, "gamma"), (3, "alpha gammas"), (4, "beta alpha"), (5, "ends in alpha"), (6, "beta"), (7, None)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(10, "alpha beta"), (11, "Gamma!"), (12, "gamma"), (13, "delta")], "item_id long, text string")
+    got = decontamination.contaminated(docs, bench).collect()
+    assert sorted(map(tuple, got)) == [(1, 10, 1.0, 1, 3, 2), (2, 11, 1.0, 0, 1, 1), (2, 12, 1.0, 0, 1, 1)]
