@@ -491,3 +491,19 @@ def test_short_items(spark):
     bench = spark.createDataFrame([(10, "alpha beta"), (11, "Gamma!"), (12, "gamma"), (13, "delta")], "item_id long, text string")
     got = decontamination.contaminated(docs, bench).collect()
     assert sorted(map(tuple, got)) == [(1, 10, 1.0, 1, 3, 2), (2, 11, 1.0, 0, 1, 1), (2, 12, 1.0, 0, 1, 1)]
+
+
+def test_pii_addresses(spark):
+    """Addresses after dots, of many or long parts, and beside other mentions go whole; endless words cost little."""
+    long, many = "x" * 200 + "@b.org", ".".join("abcdefghijklmnop") + "@" + "m." * 20 + "com"
+    made = [
+        ("John Smith.......john@x.com", ["john@x.com"]), (".ann@x.org", ["ann@x.org"]), ("a.b.c.d.e.f.g.h.i.j@x.com", ["a.b.c.d.e.f.g.h.i.j@x.com"]), (long, [long]), (many, [many]),
+        ("4845 1681 1440 7329.john@x.com", ["4845 1681 1440 7329", "john@x.com"]), ("a@b.com-based a@b.co1 a@b.c.5", ["a@b.com", "a@b.co"]), ("a@1.2.org.3.4 a@-.x.y.zz.", ["a@1.2.org", "a@-.x.y.zz"]),
+        ("b." * 50_000 + "@" + "c." * 50_000, []), ("b." * 50_000 + "b@" + "c1." * 50_000 + "com", None), ("a@" * 50_000, []), ("a@b.cc." * 20_000, None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r._pii_found for r in pii.mentions(docs, "text").collect()}
+    for i, (t, want) in enumerate(made):
+        assert len("".join(found[i])) > len(t) / 2 if want is None else found.get(i, []) == want, t[:40]
+    changed = {r.doc_id: r.text for r in pii.surrogates(docs.where("doc_id < 8")).collect()}
+    assert changed[0].startswith("John Smith.......") and changed[1].startswith(".") and not any(m in changed[i] for i in range(8) for m in made[i][1])
