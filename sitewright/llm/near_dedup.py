@@ -193,17 +193,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one row stands for each set; where an id has several texts, each of its sets does
     heads = signed.where("n > 0 AND doc IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc", "bands", "bits")).alias("h"))
     heads = save(heads.select(*key, "h.*"), "near-heads")
-    shared = heads.select(F.explode("bands").alias("gid"), "doc")
+    shared = heads.select(F.explode("bands").alias("gid"), "doc", *key)
     groups = save(sized(shared, limit), "near-bands")
-    bits = heads.select("doc", "bits").dropDuplicates(["doc"])
-    edges = link_groups(shared.join(groups, "gid").join(bits, "doc"), groups, estimating(hashes, least_estimate(percent / 100, hashes)), limit)
+    # each set is judged by its own signature
+    bits = heads.select(*key, "bits")
+    edges = link_groups(shared.join(groups, "gid").join(bits, key).drop(*key), groups, estimating(hashes, least_estimate(percent / 100, hashes)), limit)
     clusters = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("gid"))
     groups = save(sized(clusters, limit), "near-clusters")
     members = save(clusters.join(groups, "gid"), "near-members")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), filled(F.col(text_col).cast("string")).alias("text"))
     links = link_groups(full_sets(joined(texts, members, ["doc"], rows=FEW)), groups, comparing(percent), limit)
-    named = joined(heads.select(*key, "doc"), components(links).withColumnRenamed("node", "doc"), ["doc"], "left", FEW)
+    # an id of several sets hangs together with the ids that stand for them
+    several = signed.where("doc IS NOT NULL").groupBy("doc").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).where("a <> b")
+    several = save(several.select("doc"), "near-several")
+    more = bool(several.limit(1).count())
+    if more:
+        own_sets = joined(signed.where("n > 0").select("doc", *key), several, ["doc"], "left_semi", FEW).distinct()
+        links = links.union(own_sets.join(heads.select(*key, F.col("doc").alias("head")), key).select(F.col("doc").alias("a"), F.col("head").alias("b")))
+    labels = components(links).withColumnRenamed("node", "doc")
+    named = joined(heads.select(*key, "doc"), labels, ["doc"], "left", FEW)
     named = named.select(*key, F.coalesce("component", "doc").alias("component_id"))
     out = joined(signed.select("doc", *key), named, key, "left", FEW)
-    own = F.when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc"))
+    if more:
+        by_doc = several.join(labels, "doc", "left").select("doc", F.coalesce("component", "doc").alias("of_doc"))
+        out = joined(out, by_doc, ["doc"], "left", FEW)
+    else:
+        out = out.withColumn("of_doc", F.lit(None).cast("long"))
+    own = F.when(F.col("of_doc").isNotNull(), F.col("of_doc")).when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc").eqNullSafe(own).alias("kept"))

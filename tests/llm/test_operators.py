@@ -507,3 +507,22 @@ def test_pii_addresses(spark):
         assert len("".join(found[i])) > len(t) / 2 if want is None else found.get(i, []) == want, t[:40]
     changed = {r.doc_id: r.text for r in pii.surrogates(docs.where("doc_id < 8")).collect()}
     assert changed[0].startswith("John Smith.......") and changed[1].startswith(".") and not any(m in changed[i] for i in range(8) for m in made[i][1])
+
+
+def test_near_of_several_texts(spark):
+    """Each text of an id is judged by its own signature, and links of one are links of the id."""
+    rng = random.Random(17)
+    words = vocabulary(rng, 3000)
+    text = lambda: [rng.choice(words) for _ in range(120)]
+    made = []
+    for i in range(0, 120, 4):
+        a, b = text(), text()
+        near_a, near_b = list(a), list(b)
+        near_a[50], near_b[50] = "other", "another"
+        # i has two texts, each with a near copy; i + 3 repeats one of i + 1 and has one of its own, or none
+        made += [(i, a), (i, b), (i + 1, near_a), (i + 2, near_b), (i + 3, near_a), (i + 3, text() if i % 8 else [])]
+    made = [(i, " ".join(w)) for i, w in made]
+    _, want = brute_near(made, 85)
+    got = near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    assert len(set(want.values())) == 30 and len(got) == len(made)
+    assert all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
