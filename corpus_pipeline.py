@@ -7,6 +7,7 @@ repeats rows, the last deals them to shards.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitewright.llm import decontamination, mixing, near_dedup, sharding, toxicity
 from sitewright.llm.common import joined, save, table
@@ -23,17 +24,30 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
+    """Of each group of near duplicates the document with the smallest id stays, each of its texts once. Rows
+    without an id are linked with nothing, so all of them stay."""
     found = save(near_dedup.near_duplicates(docs, percent=PERCENT), "pipeline-near")
     kept = joined(docs, found.where("NOT kept").select("doc_id").distinct(), ["doc_id"], "left_anti", near_dedup.FEW)
-    again = found.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id"]) if again.limit(1).count() else kept
+    again = save(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-again")
+    if not again.limit(1).count():
+        return kept
+    repeated = joined(kept, again, ["doc_id"], "left_semi", near_dedup.FEW).dropDuplicates(["doc_id", "text"])
+    return joined(kept, again, ["doc_id"], "left_anti", near_dedup.FEW).unionByName(repeated)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a test item go."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return joined(docs, save(found.select("doc_id").distinct(), "pipeline-leaks"), ["doc_id"], "left_anti")
+    """Documents that hold a passage of a test item go; rows without an id, each by itself."""
+    items = table(spark, sf_dir, "benchmark")
+    found = decontamination.contaminated(docs.where("doc_id IS NOT NULL"), items)
+    clean = joined(docs, save(found.select("doc_id").distinct(), "pipeline-leaks"), ["doc_id"], "left_anti")
+    nameless = docs.where("doc_id IS NULL")
+    if not nameless.limit(1).count():
+        return clean
+    # saved before its rows' numbers are used: they need not come out the same a second time
+    keyed = save(nameless.withColumn("_row", F.monotonically_increasing_id()), "pipeline-nameless")
+    found = decontamination.contaminated(keyed, items, id_col="_row")
+    own = joined(keyed, save(found.select("_row").distinct(), "pipeline-leaks"), ["_row"], "left_anti")
+    return clean.where("doc_id IS NOT NULL").unionByName(own.drop("_row"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

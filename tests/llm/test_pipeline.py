@@ -45,3 +45,14 @@ def test_repeated_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
     once = pipeline.without_near_duplicates(spark, docs, SF)
     assert sorted(r.doc_id for r in pipeline.without_near_duplicates(spark, docs.union(docs), SF).collect()) == sorted(r.doc_id for r in once.collect())
+
+
+def test_rows_without_id(spark):
+    """Different texts without an id, or of one id, all stay; of rows without an id those with a passage go."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    made = [(None, "one two three four five six seven"), (None, "eight nine ten eleven twelve thirteen"), (None, f"so {item} it is"), (1, "a text of some words"), (1, "quite another one here"), (1, "a text of some words"), (2, f"here {item} again"), (3, "")]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    near = pipeline.without_near_duplicates(spark, docs.where("doc_id IS NULL OR doc_id <> 2"), SF)
+    assert sorted(map(repr, map(tuple, near.collect()))) == sorted(map(repr, [*made[:5], made[7]]))
+    clean = pipeline.without_benchmark(spark, docs, SF)
+    assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(map(repr, [*made[:2], *made[3:6], made[7]]))
