@@ -2,7 +2,8 @@
 
 Known licence sentences have identifiers; a licence is recognised by identifiers in a given order. A text is
 cut at line ends and after full stops, semicolons and colons; pieces are lower-cased and reduced to letters
-and digits. A known sentence is one piece or a run of up to MAX_RUN pieces, so wrapped lines do not hide it.
+and digits. A known sentence is one piece or a run of pieces, a word each at least, so lines wrapped anywhere
+between words do not hide it.
 The identifiers found in a document, in order, are matched against the rules; what stands between known
 sentences does not matter.
 
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import filled, save
 
-MAX_RUN = 12
-
 # Sentences of public licences and references to them, and the sequences that identify one.
 SENTENCES = {
     "apache-ref": "Licensed under the Apache License, Version 2.0.",
@@ -90,15 +89,20 @@ def sentence_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(SENTENCES.items()), "sentence string, raw string")
     known = known.select("sentence", F.concat_ws(" ", pieces(F.col("raw"))).alias("joined"))
-    heads = known.select(F.substring_index("joined", " ", 1).alias("head")).distinct()
-    heads = [r.head for r in heads.collect()]
+    known = sorted((r.sentence, r.joined) for r in known.collect())
+    heads = sorted({joined.split(" ")[0] for _, joined in known})
+    longest = max(len(joined.split(" ")) for _, joined in known)
+    sentences = F.array(*[F.struct(F.lit(sentence).alias("sentence"), F.lit(joined).alias("joined")) for sentence, joined in known])
     text = filled(F.col(text_col).cast("string"))
     some = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     some = some.where(F.col("text").rlike("(?i)" + "|".join(CUES))).select("id", "row", pieces(F.col("text")).alias("p"))
     each = some.select("id", "row", "p", F.posexplode("p").alias("at", "first")).where(F.substring_index("first", " ", 1).isin(heads))
-    run = each.select("id", "row", "at", F.slice("p", F.col("at") + 1, MAX_RUN).alias("p"))
-    tries = run.select("id", "row", "at", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.array_join(F.slice(F.col("p"), F.lit(1), n), " "))).alias("joined"))
-    return tries.join(F.broadcast(known), "joined").select("id", "row", "at", "sentence")
+    # the first piece begins a known sentence; the sentence must then end where a piece does
+    begun = each.where(F.exists(sentences, lambda k: F.startswith(F.concat(k["joined"], F.lit(" ")), F.concat("first", F.lit(" ")))))
+    run = begun.select("id", "row", "at", F.concat(F.array_join(F.slice("p", F.col("at") + 1, longest), "\n"), F.lit("\n")).alias("lines"))
+    run = run.withColumn("flat", F.translate("lines", "\n", " "))
+    whole = lambda k: F.startswith(F.col("flat"), F.concat(k["joined"], F.lit(" "))) & (F.col("lines").substr(F.char_length(k["joined"]) + 1, F.lit(1)) == "\n")
+    return run.select("id", "row", "at", F.explode(F.filter(sentences, whole)).alias("k")).select("id", "row", "at", "k.sentence")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -526,3 +526,12 @@ def test_near_of_several_texts(spark):
     got = near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
     assert len(set(want.values())) == 30 and len(got) == len(made)
     assert all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_licenses_in_narrow_columns(spark):
+    """Sentences wrapped at 30 columns, and at every word, are known."""
+    mit = " ".join(licenses.SENTENCES[k] for k in ("mit-grant", "mit-notice"))
+    isc = licenses.SENTENCES["isc-grant"]
+    made = [(1, "Title\n" + re.sub(r"(.{1,30}) ", r"\1\n", mit) + "\nend"), (2, mit.replace(" ", "\n\n")), (3, isc.replace(" ", "\n")), (4, mit.replace(" ", "\n").replace("deal", "deals")), (5, "Released under the MIT\nLicense. Now")]
+    got = licenses.scan(spark.createDataFrame(made, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "MIT"), (2, "MIT"), (3, "ISC"), (5, "MIT")]
