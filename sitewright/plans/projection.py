@@ -25,12 +25,27 @@ def reference_base(p: Column, ref_id: Column) -> Column:
     return F.substring(F.lit(REFERENCE_CYCLE), ((p * p * 31 + p * 17 + ref_id * 7) % 23 + 1).cast("int"), F.lit(1))
 
 
+def _reference_run(pos: Column, ref_id: Column) -> Column:
+    """The reference bases of a read that begins at pos: they repeat after 23, so they are part of a string."""
+    every = ["".join(REFERENCE_CYCLE[(k * k * 31 + k * 17 + r * 7) % 23] for k in range(23)) for r in range(5)]
+    of = F.element_at(F.array(*[F.lit((c * 2)[: 23 + READ_BASES]) for c in every]), ref_id + 1)
+    return F.substring(of, (pos % 23 + 1).cast("int"), F.lit(READ_BASES))
+
+
+def _qualities(first: Column) -> Column:
+    """Qualities (first + 7 i) mod 41: 7 * 6 = 1 mod 41, so they are part of the string of all steps of 7."""
+    steps = "".join(chr(7 * k % 41 + 33) for k in range(41 + READ_BASES))
+    return F.substring(F.lit(steps), (first * 6 % 41 + 1).cast("int"), F.lit(READ_BASES))
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag")
     key, line, part, supp = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     ref_id, pos = (part % 5).cast("int"), 1 + (key * 7 + line * 13) % SPAN
-    bases = [F.when((part + 3 * i) % 11 == 0, F.substring(F.lit("TGCA"), (part % 4 + 1).cast("int"), F.lit(1))).otherwise(reference_base(pos + i, ref_id)) for i in range(READ_BASES)]
-    quals = [F.char((supp * 3 + i * 7 + part) % 41 + 33) for i in range(READ_BASES)]
+    # base i differs where 11 divides part + 3 i: at i = 7 part mod 11, and 11 bases on
+    other, at = F.substring(F.lit("TGCA"), (part % 4 + 1).cast("int"), F.lit(1)), (part * 7 % 11 + 1).cast("int")
+    seq = F.overlay(_reference_run(pos, ref_id), other, at)
+    seq = F.when(at == 1, F.overlay(seq, other, F.lit(12))).otherwise(seq)
     cigar = F.element_at(F.array(*map(F.lit, CIGARS)), (line % 6 + 1).cast("int"))
     return li.select(
         (F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)).alias("file_idx"),
@@ -41,15 +56,18 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("mapq"),
         supp.cast("string").alias("rg"),
         cigar.alias("cigar"),
-        F.concat(*bases).alias("seq"),
-        F.concat(*quals).alias("qual"),
+        seq.alias("seq"),
+        _qualities(supp * 3 + part).alias("qual"),
     )
 
 
 def raw_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part").where("p_partkey < 40")
-    start = (F.col("p_partkey") * 131) % SPAN
-    return part.select((F.col("p_partkey") % 5).cast("int").alias("ref_id"), start.alias("start"), (start + F.col("p_size") - 5).alias("end"))
+    """One interval for each part, on four of the five contigs; some are empty. They begin in the first 20 of
+    each 200 bases and end within 31, so gaps stay between them however many parts there are."""
+    part = _read(spark, sf_dir, "part")
+    place = (F.col("p_partkey") * 131) % SPAN
+    start = place - place % 200 + F.col("p_size") % 20
+    return part.select((F.col("p_partkey") % 4).cast("int").alias("ref_id"), start.alias("start"), (start + F.col("p_partkey") % 17 - 4).alias("end"))
 
 
 def read_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def mapq_filter(spark, sf):
 
 
 def target_contig_semi(spark, sf):
-    return _keyed(reads.on_target_contigs(P.alignments(spark, sf), _targets(spark, sf).where("ref_id < 3")), "ref_id")
+    return _keyed(reads.on_target_contigs(P.alignments(spark, sf), _targets(spark, sf)), "ref_id")
 
 
 def rg_sample_join(spark, sf):
@@ -189,8 +189,8 @@ _PARTS = {
         FROM (SELECT DISTINCT sample FROM rgs WHERE sample IS NOT NULL)""",
     "points": """
         SELECT DISTINCT ref_id, p FROM (
-            SELECT CAST(p_partkey % 5 AS INT) AS ref_id, unnest(range((p_partkey * 131) % 2000, (p_partkey * 131) % 2000 + p_size - 5)) AS p
-            FROM part WHERE p_partkey < 40)""",
+            SELECT CAST(p_partkey % 4 AS INT) AS ref_id, unnest(range(start, start + p_partkey % 17 - 4)) AS p
+            FROM (SELECT p_partkey, (p_partkey * 131) % 2000 - (p_partkey * 131) % 2000 % 200 + p_size % 20 AS start FROM part))""",
     "targets": """
         SELECT ref_id, min(p) AS "start", max(p) + 1 AS "end"
         FROM (SELECT ref_id, p, p - row_number() OVER (PARTITION BY ref_id ORDER BY p) AS island FROM points) GROUP BY ref_id, island""",
@@ -263,7 +263,7 @@ _CALL = "gt || ':' || dp || ':' || ad_ref || ',' || ad_alt"
 ORACLES = {
     "flag_filter": _sql(f"SELECT {_KEYS}, flag FROM reads WHERE flag & 3844 = 0"),
     "mapq_filter": _sql(f"SELECT {_KEYS}, mapq FROM reads WHERE mapq >= 20"),
-    "target_contig_semi": _sql(f"SELECT {_KEYS}, ref_id FROM reads WHERE ref_id IN (SELECT ref_id FROM points WHERE ref_id < 3)"),
+    "target_contig_semi": _sql(f"SELECT {_KEYS}, ref_id FROM reads WHERE ref_id IN (SELECT ref_id FROM points)"),
     "rg_sample_join": _sql(f"SELECT {_KEYS}, rg, sample_idx FROM reads JOIN rgs USING (rg) JOIN samples USING (sample)"),
     "unresolved_rg_anti": _sql(f"SELECT {_KEYS}, rg FROM reads WHERE rg NOT IN (SELECT rg FROM rgs WHERE sample IS NOT NULL)"),
     "scan_metrics": _sql("""
