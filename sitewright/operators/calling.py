@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import COUNTS, base_index, choose_alt, depth, sample_call
 from ..schemas import CHUNK
-from .reads import BROADCAST_ROWS
+from .intervals import few
+
+#: Rows of a reference (of CHUNK bases) that are broadcast, at most.
+REFERENCE_ROWS = 500
 
 
 def site_totals(counts: DataFrame, keep_samples: bool = False) -> DataFrame:
@@ -28,8 +31,7 @@ def reference_bases(sites: DataFrame, reference: DataFrame, contigs: DataFrame,
     named = sites.join(contigs.select("ref_id", F.col("name").alias("chrom")), "ref_id")
     named = named.withColumn("chunk_id", F.expr(f"(pos - 1) div {chunk}"))
     rows = reference.select(F.col("name").alias("chrom"), "chunk_id", F.col("seq").alias("chunk_seq"))
-    few = rows.limit(BROADCAST_ROWS // 1000 + 1).count() <= BROADCAST_ROWS // 1000
-    both = named.join(F.broadcast(rows) if few else rows, ["chrom", "chunk_id"], "left")
+    both = named.join(F.broadcast(rows) if few(rows, REFERENCE_ROWS) else rows, ["chrom", "chunk_id"], "left")
     base = F.substring("chunk_seq", (F.col("pos") - F.col("chunk_id") * chunk).cast("int"), F.lit(1))
     where = F.concat(F.lit("position outside the reference: "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))
     ref = F.when(F.col("chunk_seq").isNull() | (F.length(base) == 0) | (F.col("pos") < 1), F.raise_error(where)).otherwise(F.upper(base))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,18 @@ GROUP = ["ref_id", "pos", "sample_idx", "file_idx"]
 RANKED = 1000
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, computed once: in the shared folder of checkpoints, where no executor holds it and it is
+    deleted with the last plan that reads it if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sitewright-"))
+    return df.checkpoint()
+
+
 def counts(observed: DataFrame) -> DataFrame:
     """Bases by site, sample and file; combined before the shuffle."""
     return observed.groupBy(*GROUP).agg(*[F.count_if(F.col("base") == b).alias(n) for b, n in zip(BASES, COUNTS, strict=True)])
@@ -30,7 +43,7 @@ def capped_counts(observed: DataFrame, max_depth: int) -> DataFrame:
     all are counted, and only the observations of those that exceed it are put in order."""
     if max_depth < RANKED:
         return counts(first_n(observed, max_depth))
-    every = counts(observed).persist(StorageLevel.MEMORY_AND_DISK)
+    every = written(counts(observed))
     over = every.where(depth() > max_depth).select(*GROUP)
     if over.isEmpty():
         return every

@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import base_index
 from ..functions.cigar import blocks
+from .intervals import BIN, binned, bins, few
 
 #: Fixed value: unmapped, secondary, failed quality control, duplicate, supplementary.
 SKIPPED_FLAGS = 0xF04
-#: Dimension tables of more rows than this are shuffled, not broadcast.
-BROADCAST_ROWS = 500_000
-#: Bits of a position within the bins by which blocks meet targets: a genome of targets stays below the limit.
-BIN = 13
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join to a dimension table: broadcast while it is checked to be small."""
-    tiny = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(right) if tiny else right, on, how)
+    """Join to a dimension table: broadcast while it is checked to be small, else shuffled and merged."""
+    return left.join(F.broadcast(right) if few(right) else right.hint("merge"), on, how)
 
 
 def flags_pass(flag: Column) -> Column:
@@ -68,9 +64,7 @@ def clipped(blocks_: DataFrame, targets: DataFrame) -> DataFrame:
     """Blocks cut to the merged targets they overlap, before any base is expanded. Merged targets are disjoint,
     so no base comes twice. Both sides are keyed by bins of 2**BIN bases, so a block meets the targets near it
     and not all of its contig; a pair that shares several bins counts in the first of them."""
-    bins = lambda a, b: F.explode(F.sequence(F.shiftright(a, BIN), F.shiftright(F.col(b) - 1, BIN)))
-    t = targets.select("ref_id", F.col("start").alias("ts"), F.col("end").alias("te")).withColumn("bin", bins("ts", "te"))
-    both = lookup(blocks_.withColumn("bin", bins("bs", "be")), t, ["ref_id", "bin"])
+    both = lookup(blocks_.withColumn("bin", bins("bs", "be")), binned(targets), ["ref_id", "bin"])
     lo, hi = F.greatest("bs", "ts"), F.least("be", "te")
     return both.where((lo < hi) & (F.shiftright(lo, BIN) == F.col("bin"))).withColumns({"lo": lo, "hi": hi}).drop("ts", "te", "bin")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calling, intervals, pileup, reads
+from ..operators import calling, pileup, reads
 from ..params import CallParams
 from ..schemas import CHUNK
 
@@ -18,10 +18,9 @@ def site_counts(alignments: DataFrame, targets: DataFrame, read_groups: DataFram
 
 
 def call_targets(alignments: DataFrame, targets: DataFrame, read_groups: DataFrame, samples: DataFrame, contigs: DataFrame, reference: DataFrame, params: CallParams = CallParams(), chunk: int = CHUNK) -> DataFrame:
-    """ref_id, chrom, pos, ref, alt, alt_count, dp, alt_fraction, samples; in no order: sinks sort."""
-    # read three times: once for each check of its size and once for the join
-    merged = intervals.union(targets).persist()
-    counts = site_counts(alignments, merged, read_groups, samples, params)
+    """ref_id, chrom, pos, ref, alt, alt_count, dp, alt_fraction, samples; in no order: sinks sort. targets:
+    merged."""
+    counts = site_counts(alignments, targets, read_groups, samples, params)
     sites = calling.site_totals(counts, keep_samples=True).where(F.col("nA") + F.col("nC") + F.col("nG") + F.col("nT") > 0)
     sites = calling.with_alt(calling.reference_bases(sites, reference, contigs, chunk), params.min_alt_count)
     called = calling.dense_calls(calling.fraction_pass(sites, params.min_alt_fraction), samples.count())

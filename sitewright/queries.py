@@ -153,14 +153,14 @@ def rg_conflicts(spark, sf):
 
 def call_targets(spark, sf):
     """The flagship: the whole call, each sample's genotype among its columns as text."""
-    v = call(P.alignments(spark, sf), P.raw_targets(spark, sf), P.read_groups(spark, sf), P.samples(spark, sf), P.contigs(spark, sf), P.reference(spark, sf, CHUNK), CallParams(max_depth=CAP), chunk=CHUNK)
+    v = call(P.alignments(spark, sf), _targets(spark, sf), P.read_groups(spark, sf), P.samples(spark, sf), P.contigs(spark, sf), P.reference(spark, sf, CHUNK), CallParams(max_depth=CAP), chunk=CHUNK)
     each = F.transform("samples", lambda s: F.concat(s["gt"], F.lit(":"), s["dp"], F.lit(":"), s["ad_ref"], F.lit(","), s["ad_alt"]))
     return v.select("ref_id", "chrom", "pos", "ref", "alt", "alt_count", "dp", "alt_fraction", F.array_join(each, "\t").alias("calls"))
 
 
 def call_targets_deep(spark, sf):
     """The same with the usual depth cap, which few groups reach."""
-    v = call(P.alignments(spark, sf), P.raw_targets(spark, sf), P.read_groups(spark, sf), P.samples(spark, sf), P.contigs(spark, sf), P.reference(spark, sf, CHUNK), chunk=CHUNK)
+    v = call(P.alignments(spark, sf), _targets(spark, sf), P.read_groups(spark, sf), P.samples(spark, sf), P.contigs(spark, sf), P.reference(spark, sf, CHUNK), chunk=CHUNK)
     return v.select("ref_id", "chrom", "pos", "ref", "alt", "alt_count", "dp", "alt_fraction")
 
 

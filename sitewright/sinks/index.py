@@ -70,14 +70,13 @@ def _blocked(data: bytes) -> bytes:
     return out.getvalue()
 
 
-def _least(contig: Contig, b: int) -> int:
-    """The least offset that a record overlapping a bin can have."""
+def _least(offsets: list[int], b: int) -> int:
+    """The least offset that a record overlapping a bin can have, by the linear index of its contig."""
     first, shift = 0, MIN_SHIFT + 3 * DEPTH
     while b >= first + (1 << (MIN_SHIFT + 3 * DEPTH - shift)):
         first += 1 << (MIN_SHIFT + 3 * DEPTH - shift)
         shift -= 3
     begin = (b - first) << shift >> MIN_SHIFT
-    offsets = contig.offsets()
     return offsets[begin] if begin < len(offsets) else 0
 
 
@@ -87,9 +86,10 @@ def csi(contigs: dict[int, Contig], names: list[str]) -> bytes:
     out = [b"CSI\1", struct.pack("<3i", MIN_SHIFT, DEPTH, len(aux)), aux, struct.pack("<i", len(names))]
     for i in range(len(names)):
         c = contigs.get(i, Contig())
+        offsets = c.offsets()
         out.append(struct.pack("<i", len(c.bins)))
         for b, chunks in sorted(c.bins.items()):
-            out.append(struct.pack("<IQi", b, _least(c, b), len(chunks)))
+            out.append(struct.pack("<IQi", b, _least(offsets, b), len(chunks)))
             out += [struct.pack("<2Q", *x) for x in chunks]
     return _blocked(b"".join(out))
 

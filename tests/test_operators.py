@@ -119,7 +119,7 @@ def test_clip_once_by_bins(spark, monkeypatch):
     t = spark.createDataFrame([(0, 5, 40_000), (0, 50_000, 50_010)], "ref_id int, start long, end long")
     b = spark.createDataFrame([(0, 0, 60_000, 0)], "ref_id int, bs long, be long, q0 long")
     want = sorted((r.lo, r.hi) for r in reads.clipped(b, t).collect())
-    monkeypatch.setattr(reads, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(intervals, "BROADCAST_ROWS", -1)
     assert sorted((r.lo, r.hi) for r in reads.clipped(b, t).collect()) == want == [(5, 40_000), (50_000, 50_010)]
 
 
