@@ -14,7 +14,7 @@ from ..schemas import SAMPLES
 from ..sinks.fasta import prepare_reference
 from ..sinks.vcf import write_vcf
 from ..sources import bam, text
-from ..sources.fasta import lengths, read_reference
+from ..sources.fasta import needed, read_reference
 from .call_targets import call_targets
 
 log = logging.getLogger("sitewright")
@@ -42,11 +42,12 @@ def run(spark: SparkSession, reference: str, targets: str, output: str, inputs:
             raise ValueError(f"no target intervals in {targets}")
     with stage("collect_samples"):
         names, groups = text.collect_samples(heads, text.read_rg_map(rg_map) if rg_map else None)
-    rows = read_reference(spark, prepared)
-    known = {r["name"]: r["length"] for r in lengths(rows).collect()} if len(heads[0].contigs) else {}
+    known = {n: x[0] for n, x in text.read_index(text.index_path(prepared)).items()}
     missing = [n for n, _ in heads[0].contigs if n not in known]
     if missing:
         raise ValueError(f"contig {missing[0]} is not in the reference")
+    # of the reference only what the targets touch is read
+    rows = read_reference(spark, prepared, only=needed(merged, [n for n, _ in heads[0].contigs]))
     found = bam.read_alignments(spark, paths, split)
     samples = spark.createDataFrame([(s, i) for i, s in enumerate(names)], SAMPLES)
     dims = bam.read_groups(spark, groups)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import bases
@@ -12,6 +11,7 @@ from .operators import calling, intervals, pileup, reads, samples
 from .params import CallParams
 from .plans import projection as P
 from .plans.call_targets import call_targets as call
+from .sinks.fasta import index_rows
 
 MAPQ, BASEQ, CAP, CHUNK = 20, 20, 2, 512
 
@@ -133,13 +133,7 @@ def vcf_lines(spark, sf):
 def fai_layout(spark, sf):
     """The index of the region names as a sequence file sorted by name, each sequence as long as its key says."""
     n = P.contigs(spark, sf).select("name", (F.col("ref_id") * 37).cast("long").alias("length"))
-    width, size = bases.line_layout(F.col("length"))
-    rows = n.withColumns({"line_bases": width, "line_width": size})
-    lines = F.expr("(length + line_bases - 1) div line_bases")
-    body = F.when(F.col("length") == 0, F.lit(1).cast("long")).otherwise(F.col("length") + lines)
-    head = F.octet_length("name") + 2
-    before = F.sum(head + body).over(W.orderBy("name").rowsBetween(W.unboundedPreceding, -1))
-    return rows.select("name", "length", (F.coalesce(before, F.lit(0)) + head).alias("offset"), "line_bases", "line_width")
+    return index_rows(n)
 
 
 def sample_index(spark, sf):

@@ -202,3 +202,40 @@ def test_indexed_fasta(spark, tmp_path):
 @pytest.mark.parametrize("name,want", [("a.fa.gz", "a"), ("a.fasta.gz", "a"), ("a.fna.gz", "a"), ("a.gz", "a"), ("a.fa", "a"), ("a.fasta", "a"), ("a.fna", "a"), ("a.txt", "a.txt")])
 def test_prepared_path(name, want):
     assert out_fasta.prepared_path(f"/x/{name}") == f"/x/{want}.sorted.fa.gz"
+
+
+def wrapped(seqs, width):
+    return "".join(f">{n} more\n" + "".join(s[i : i + width] + "\n" for i in range(0, len(s), width)) for n, s in seqs.items())
+
+
+@pytest.mark.parametrize("width,span", [(50, 300), (7, 1000), (10**6, 300), (61, 1 << 24)])
+def test_fasta_in_ranges(spark, tmp_path, monkeypatch, width, span):
+    """Plain, indexed and blocked files give the same rows, whatever the ranges, and lines may be endless."""
+    rng = random.Random(width)
+    seqs = {f"c{i}": "".join(rng.choice("ACGTacgtN") for _ in range(n)) for i, n in enumerate((5000, 0, 1, 299, 300, 301, 2000, 0, 64))}
+    (tmp_path / "p.fa").write_text(wrapped(seqs, width))
+    want = sorted((n, k, s[k * 100 : k * 100 + 100]) for n, s in seqs.items() for k in range(max(1, -(-len(s) // 100))))
+    plain = fasta.FastaReader(str(tmp_path / "p.fa"), 100, span, None)
+    monkeypatch.setattr(fasta, "BLOCK", 97)
+    parts = plain.partitions()
+    assert sorted(r for p in parts for r in plain.read(p)) == want and (len(parts) > 5) == (span < 5000)
+    assert list(fasta.records(str(tmp_path / "p.fa"), 100)) == [(n, k, s[k * 100 : k * 100 + 100]) for n, s in seqs.items() for k in range(max(1, -(-len(s) // 100)))]
+    monkeypatch.setattr(bgzf, "PAYLOAD", 256)
+    path = str(tmp_path / "o.fa.gz")
+    assert out_fasta.write_fasta(fasta.read_reference(spark, str(tmp_path / "p.fa"), 100, span), path, 100) == len(seqs)
+    assert gzip.open(path, "rt").read() == "".join(f">{n}\n" + ("".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) or "\n") for n, s in sorted(seqs.items()))
+    (tmp_path / "o.fa").write_bytes(gzip.open(path, "rb").read())
+    (tmp_path / "o.fa.fai").write_bytes(open(path + ".fai", "rb").read())
+    for p in (path, str(tmp_path / "o.fa")):
+        reader = fasta.FastaReader(p, 100, span, None)
+        assert sorted(r for x in reader.partitions() for r in reader.read(x)) == want and (len(reader.partitions()) > 5) == (span < 5000)
+        some = fasta.FastaReader(p, 100, span, {"c0": [[3, 5], [49, 49]], "c7": [[0, 0]]})
+        assert sorted(r for x in some.partitions() for r in some.read(x)) == [r for r in want if (r[0] == "c0" and r[1] in (3, 4, 5, 49)) or r[0] == "c7"]
+
+
+def test_long_line(tmp_path):
+    import time
+
+    (tmp_path / "l.fa").write_bytes(b">a\n" + b"ACGTN" * 4_000_000)
+    began = time.monotonic()
+    assert sum(len(s) for _, _, s in fasta.records(str(tmp_path / "l.fa"))) == 20_000_000 and time.monotonic() - began < 2
