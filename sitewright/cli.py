@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from .params import CallParams, fraction
 
@@ -51,15 +55,50 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    verbose, handlers = getattr(args, "verbose", 0), [logging.StreamHandler(sys.stderr)]
-    if getattr(args, "log_file", None):
-        handlers.append(logging.FileHandler(args.log_file))
-    logging.basicConfig(level=logging.INFO if verbose else logging.WARNING, handlers=handlers, format="%(message)s", force=True)
+    with mirrored(getattr(args, "log_file", None)) as err:
+        return _call(args, err)
+
+
+@contextmanager
+def mirrored(path: str | None) -> Iterator:
+    """A stream on standard error. With a path, all that this process and those it starts write there, Spark's
+    JVM included, goes to that file too, which is made anew."""
+    if not path:
+        yield sys.stderr
+        return
+    if folder := os.path.dirname(path):
+        os.makedirs(folder, exist_ok=True)
+    with open(path, "wb", buffering=0) as log, open(2, "w", closefd=False) as err:
+        saved = os.dup(2)
+        source, sink = os.pipe()
+        os.dup2(sink, 2)
+        os.close(sink)
+
+        def pump() -> None:
+            while data := os.read(source, 8192):
+                os.write(saved, data)
+                if not log.closed:
+                    log.write(data)
+
+        own = threading.Thread(target=pump, daemon=True)
+        own.start()
+        try:
+            yield err
+        finally:
+            err.flush()
+            os.dup2(saved, 2)
+            # a JVM that was started within keeps its end open
+            own.join(timeout=2)
+
+
+def _call(args: argparse.Namespace, err) -> int:
+    verbose = getattr(args, "verbose", 0)
+    logging.basicConfig(level=logging.INFO if verbose else logging.WARNING, handlers=[logging.StreamHandler(err)], format="%(message)s", force=True)
     from pyspark.sql import SparkSession
 
     from .plans.run import run
 
-    builder = SparkSession.builder.appName("sitewright")
+    builder = SparkSession.builder.appName("sitewright").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if getattr(args, "threads", None):
         builder = builder.config("spark.master", f"local[{args.threads}]")
     params = CallParams(args.min_mapq, args.min_baseq, args.min_alt_count, args.min_alt_fraction, args.max_depth)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OP = r"(\d+)([MIDNSHP=X])"
-
 
 def blocks(cigar: Column) -> Column:
     """array(struct(r, q, len)): runs of aligned bases, with their offsets from the alignment's start (r) and
@@ -30,7 +28,3 @@ def blocks(cigar: Column) -> Column:
         )
 
     return F.when(cigar.rlike(r"^\d{1,10}[M=X]$"), F.array(whole)).otherwise(F.aggregate(ops, start, step, lambda acc: acc["out"]))
-
-
-def well_formed(cigar: Column) -> Column:
-    return cigar.rlike(rf"^({_OP})+$")

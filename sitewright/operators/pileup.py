@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bases import BASES, COUNTS, depth
+from ..shared import shared_folder
 
 GROUP = ["ref_id", "pos", "sample_idx", "file_idx"]
 #: Below this cap Spark keeps only the first rows of a group before the shuffle.
@@ -18,12 +17,7 @@ RANKED = 1000
 def written(df: DataFrame) -> DataFrame:
     """The table, computed once: in the shared folder of checkpoints, where no executor holds it and it is
     deleted with the last plan that reads it if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sitewright-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -50,6 +44,11 @@ def capped_counts(observed: DataFrame, max_depth: int) -> DataFrame:
     return every.where(depth() <= max_depth).unionByName(counts(first_n(observed.join(over, GROUP, "left_semi"), max_depth)))
 
 
+def base_observations(per_file: DataFrame) -> DataFrame:
+    """file_idx, n: the bases that each file adds."""
+    return per_file.groupBy("file_idx").agg(F.sum(depth()).alias("n"))
+
+
 def share(space: Column, total: Column) -> list[Column]:
     """The four counts cut to ``space`` in proportion: whole parts first, then one more for the largest
     remainders, the first of equals in the order A, C, G, T."""

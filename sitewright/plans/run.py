@@ -6,16 +6,16 @@ import logging
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import intervals, reads
+from ..operators import intervals, pileup, reads
 from ..params import CallParams
 from ..schemas import SAMPLES
 from ..sinks.fasta import prepare_reference
 from ..sinks.vcf import write_vcf
 from ..sources import bam, text
 from ..sources.fasta import needed, read_reference
-from .call_targets import call_targets
+from .call_targets import file_counts, variants
 
 log = logging.getLogger("sitewright")
 
@@ -37,7 +37,7 @@ def run(spark: SparkSession, reference: str, targets: str, output: str, inputs:
         heads = bam.reconciled(paths)
         contigs = bam.contigs(spark, heads[0])
     with stage("load_targets"):
-        merged = intervals.union(text.read_targets(spark, targets, contigs)).persist()
+        merged = pileup.written(intervals.union(text.read_targets(spark, targets, contigs)))
         if merged.isEmpty():
             raise ValueError(f"no target intervals in {targets}")
     with stage("collect_samples"):
@@ -48,13 +48,24 @@ def run(spark: SparkSession, reference: str, targets: str, output: str, inputs:
         raise ValueError(f"contig {missing[0]} is not in the reference")
     # of the reference only what the targets touch is read
     rows = read_reference(spark, prepared, only=needed(merged, [n for n, _ in heads[0].contigs]))
-    found = bam.read_alignments(spark, paths, split)
     samples = spark.createDataFrame([(s, i) for i, s in enumerate(names)], SAMPLES)
     dims = bam.read_groups(spark, groups)
+    refs = [r.ref_id for r in merged.select("ref_id").distinct().collect()]
+    per_file = file_counts(bam.read_alignments(spark, paths, split, reads.SKIPPED_FLAGS, refs), merged, dims, samples, params)
     if metrics:
-        for r in reads.scan_metrics(found, merged, dims, params.min_mapq).orderBy("file_idx").collect():
-            log.info("[call-targets] input %s seen=%d retained=%d skipped_flags=%d skipped_rg=%d", paths[r.file_idx], r.seen, r.retained, r.skipped_flags, r.skipped_rg)
-    with stage("write"):
-        variants = call_targets(found, merged, dims, samples, contigs, rows, params)
-        write_vcf(variants, output, reference, [(n, known[n]) for n, _ in heads[0].contigs], names, index)
-    merged.unpersist()
+        with stage("scan"):
+            per_file = pileup.written(per_file)
+            _report(spark, paths, split, merged, dims, per_file, params)
+    with stage("write_vcf"):
+        write_vcf(variants(per_file, samples, contigs, rows, params), output, reference, [(n, known[n]) for n, _ in heads[0].contigs], names, index)
+
+
+def _report(spark: SparkSession, paths: list[str], split: int, merged: DataFrame, dims: DataFrame, per_file: DataFrame, params: CallParams) -> None:
+    """Counts of each input. This second pass decodes neither bases nor qualities."""
+    found = reads.scan_metrics(bam.read_alignments(spark, paths, split, bases=False), merged, dims, params.min_mapq)
+    bases = {r.file_idx: r.n for r in pileup.base_observations(per_file).collect()}
+    got = {r.file_idx: r for r in found.collect()}
+    for i, path in enumerate(paths):
+        r = got.get(i)
+        seen, kept, flags, rg = (r.seen, r.retained, r.skipped_flags, r.skipped_rg) if r else (0, 0, 0, 0)
+        log.info("[call-targets] finished input %s seen=%d retained=%d base_obs=%d skipped_flags=%d skipped_rg=%d", path, seen, kept, bases.get(i, 0), flags, rg)

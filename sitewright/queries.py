@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import file_queries
 from .functions import bases
 from .functions.cigar import blocks
 from .operators import calling, intervals, pileup, reads, samples
@@ -165,7 +166,7 @@ QUERIES = {
         pileup_observations, pileup_counts, depth_cap_first_n, capped_merge, site_totals, reference_base_join, choose_alt, alt_fraction_filter, genotypes,
         dense_sample_calls, vcf_lines, fai_layout, sample_index, rg_conflicts, call_targets, call_targets_deep,
     )
-}
+} | file_queries.QUERIES
 
 _PARTS = {
     "reads": """
@@ -297,4 +298,4 @@ ORACLES = {
         SELECT ref_id, chrom, pos, ref, alt, alt_count, total AS dp, alt_fraction, string_agg({_CALL}, chr(9) ORDER BY sample_idx) AS calls
         FROM calls GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY ref_id, chrom, pos, ref, alt, alt_count, total, alt_fraction")),
     "call_targets_deep": _sql("SELECT ref_id, chrom, pos, ref, alt, alt_count, dp, alt_fraction FROM best", first=_DEEP[0], long4=_DEEP[1]),
-}
+} | file_queries.oracles(_sql, _CALL)

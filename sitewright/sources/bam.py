@@ -114,26 +114,30 @@ def _tags(data: bytes) -> Iterator[tuple[bytes, str, bytes]]:
             at += _SIZES[kind]
 
 
-def decode(rec: bytes) -> tuple:
-    """ref_id, pos, flag, mapq, rg, cigar, seq, qual of a record without its length."""
+def decode(rec: bytes, bases: bool = True) -> tuple:
+    """ref_id, pos, flag, mapq, rg, cigar, seq, qual of a record without its length. Without bases the last three
+    are null and cost nothing."""
     ref, pos, n_name, mapq, _, n_ops, flag, n = struct.unpack_from("<iiBBHHHi", rec)
     at = 32 + n_name
-    ops = struct.unpack_from(f"<{n_ops}I", rec, at)
+    ops = struct.unpack_from(f"<{n_ops}I", rec, at) if bases else ()
     at += 4 * n_ops
-    seq = "".join(map(_PAIRS.__getitem__, rec[at : at + (n + 1) // 2]))[:n]
+    seq = "".join(map(_PAIRS.__getitem__, rec[at : at + (n + 1) // 2]))[:n] if bases else None
     at += (n + 1) // 2
-    qual = rec[at : at + n]
+    qual = rec[at : at + n] if bases else b""
     rg, long = None, None
     for name, kind, value in _tags(rec[at + n :]):
         if name == b"RG":
             rg = value.decode() if kind in "ZH" else BAD_TYPE + kind
         elif name == b"CG" and kind == "B" and value[:1] == b"I":
             long = struct.unpack_from(f"<{(len(value) - 5) // 4}I", value, 5)
+    place = ref if ref >= 0 else None, pos + 1 if pos >= 0 else None, flag, mapq if mapq != 255 else None, rg
+    if not bases:
+        return *place, None, None, None
     if long is not None and n_ops == 2 and ops[0] == n << 4 | 4 and ops[1] & 15 == 3:
         ops = long
     cigar = "".join(f"{o >> 4}{OPERATIONS[o & 15]}" for o in ops)
     absent = not n or qual == b"\xff" * n
-    return ref if ref >= 0 else None, pos + 1 if pos >= 0 else None, flag, mapq if mapq != 255 else None, rg, cigar, seq, "" if absent else qual.translate(_PHRED).decode()
+    return *place, cigar, seq, "" if absent else qual.translate(_PHRED).decode()
 
 
 def _sensible(data: bytes, at: int, contigs: Sequence[tuple[str, int]]) -> int | None:
@@ -213,8 +217,8 @@ class Split(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], split: int):
-        self.paths, self.split = paths, split
+    def __init__(self, paths: list[str], split: int, skip: int = 0, refs: set[int] | None = None, bases: bool = True):
+        self.paths, self.split, self.skip, self.refs, self.bases = paths, split, skip, refs, bases
 
     def partitions(self) -> list[InputPartition]:
         out = []
@@ -239,7 +243,13 @@ class BamReader(DataSourceReader):
                 if place >> 16 >= part.end:
                     break
                 n = struct.unpack("<i", s.take(4))[0]
-                rows.append((part.file_idx, place, *decode(s.take(n))))
+                rec = s.take(n)
+                # a read that the call drops by flag or contig is passed over before it is decoded
+                if self.skip and struct.unpack_from("<H", rec, 14)[0] & self.skip:
+                    continue
+                if self.refs is not None and struct.unpack_from("<i", rec)[0] not in self.refs:
+                    continue
+                rows.append((part.file_idx, place, *decode(rec, self.bases)))
                 if len(rows) == BATCH:
                     yield _batch(rows)
                     rows = []
@@ -256,7 +266,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class BamSource(DataSource):
-    """Options: paths (line by line, in the order of files), split (compressed bytes of a task)."""
+    """Options: paths (line by line, in the order of files), split (compressed bytes of a task), skip (reads
+    with any of these flags are passed over), refs (contigs read, separated by commas), bases (false: no cigar, seq
+    and qual)."""
 
     @classmethod
     def name(cls) -> str:
@@ -266,12 +278,15 @@ class BamSource(DataSource):
         return ALIGNMENTS
 
     def reader(self, schema) -> DataSourceReader:
-        return BamReader(self.options["paths"].split("\n"), int(self.options.get("split", SPLIT)))
+        o = self.options
+        refs = {int(x) for x in o["refs"].split(",") if x} if "refs" in o else None
+        return BamReader(o["paths"].split("\n"), int(o.get("split", SPLIT)), int(o.get("skip", 0)), refs, o.get("bases", "true") == "true")
 
 
-def read_alignments(spark: SparkSession, paths: list[str], split: int = SPLIT) -> DataFrame:
+def read_alignments(spark: SparkSession, paths: list[str], split: int = SPLIT, skip: int = 0, refs: list[int] | None = None, bases: bool = True) -> DataFrame:
     spark.dataSource.register(BamSource)
-    return spark.read.format("sitewright_bam").option("paths", "\n".join(paths)).option("split", split).load()
+    rows = spark.read.format("sitewright_bam").option("paths", "\n".join(paths)).options(split=split, skip=skip, bases=bases)
+    return (rows if refs is None else rows.option("refs", ",".join(map(str, refs)))).load()
 
 
 def reconciled(paths: list[str]) -> list[Header]:

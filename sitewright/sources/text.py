@@ -25,7 +25,12 @@ def input_paths(inputs: list[str] | None = None, bamlist: str | None = None) ->
     found = set()
     for path in inputs:
         if os.path.isdir(path):
-            found.update(os.path.join(d, f) for d, _, names in os.walk(path, followlinks=True) for f in names if os.path.splitext(f)[1].lower() == ".bam")
+            seen: set[str] = set()
+            for d, folders, names in os.walk(path, followlinks=True):
+                # a link to a folder above would never end
+                seen.add(os.path.realpath(d))
+                folders[:] = [f for f in folders if os.path.realpath(os.path.join(d, f)) not in seen]
+                found.update(os.path.join(d, f) for f in names if os.path.splitext(f)[1].lower() == ".bam")
         else:
             found.add(path)
     return sorted(found)

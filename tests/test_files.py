@@ -105,11 +105,11 @@ def test_rg_map_and_cli(spark, data):
     (folder / "rg.txt").write_text("# map\ng3 z\ng1   a extra\nlone\ng2 a\n")
     (folder / "list.txt").write_text("\n".join(["# list", "", *reversed(data["paths"])]) + "\n")
     out = str(folder / "cli.vcf.gz")
-    args = ["--log-file", str(folder / "log"), "-vv", "call-targets", "--bamlist", str(folder / "list.txt"), "-r", data["ref"], "-T", data["bed"], "-o", out, "--rg-map", str(folder / "rg.txt")]
+    args = ["--log-file", str(folder / "logs" / "log"), "-vv", "call-targets", "--bamlist", str(folder / "list.txt"), "-r", data["ref"], "-T", data["bed"], "-o", out, "--rg-map", str(folder / "rg.txt")]
     assert cli.main(args) == 0
     body = [x for x in lines(out) if x[0] != "#"]
     assert body == call(data["files"], data["targets"], {"g3": "z", "g1": "a", "g2": "a"}, ["z", "a"], data["seqs"], CONTIGS)
-    assert "retained=" in (folder / "log").read_text()
+    assert "retained=" in (folder / "logs" / "log").read_text() and "base_obs=" in (folder / "logs" / "log").read_text()
     assert cli.main([*args[:-1], str(folder / "missing")]) == 1
     with pytest.raises(SystemExit):
         cli.main(["call-targets", "-i", "x", "--bamlist", "y", "-r", "r", "-T", "t", "-o", "o"])
@@ -239,3 +239,24 @@ def test_long_line(tmp_path):
     (tmp_path / "l.fa").write_bytes(b">a\n" + b"ACGTN" * 4_000_000)
     began = time.monotonic()
     assert sum(len(s) for _, _, s in fasta.records(str(tmp_path / "l.fa"))) == 20_000_000 and time.monotonic() - began < 2
+
+
+def test_bam_read_in_part(spark, data):
+    """Reads that the source passes over, and columns that it does not decode, change nothing else."""
+    every = bam.read_alignments(spark, data["paths"], 3000)
+    some = bam.read_alignments(spark, data["paths"], 3000, 0xF04, [1])
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.where("ref_id = 1 AND (flag & 3844) = 0").collect())) and some.count() > 50
+    assert bam.read_alignments(spark, data["paths"], refs=[]).count() == 0
+    light = bam.read_alignments(spark, data["paths"], 3000, bases=False)
+    key = ["file_idx", "ord", "ref_id", "pos", "flag", "mapq", "rg"]
+    assert sorted(map(repr, light.select(*key).collect())) == sorted(map(repr, every.select(*key).collect())) and light.where("seq IS NOT NULL OR qual IS NOT NULL OR cigar IS NOT NULL").count() == 0
+
+
+def test_linked_folders(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.bam").write_bytes(b"")
+    (tmp_path / "a" / "up").symlink_to(tmp_path)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "y.BAM").write_bytes(b"")
+    (tmp_path / "a" / "other").symlink_to(tmp_path / "b")
+    assert {p.rsplit("/", 1)[1] for p in text.input_paths([str(tmp_path)])} == {"x.bam", "y.BAM"}
