@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
 #: A word is a run of bytes other than these; all of them are ASCII, so UTF-8 text can be cut bytewise.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one already set on the
-    context. Only where neither is set (tests, a single machine) is a temporary one made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sitewright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in this application's part of the shared folder; `clear` deletes that part."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/sitewright-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators saved, once the results that read them are written."""
+    _delete(spark, own_folder(spark))
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -41,18 +46,30 @@ def drop(*frames: DataFrame) -> None:
     """Delete saved tables that no later plan reads."""
     for df in frames:
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, f)
 
 
-def short_batches(spark: SparkSession) -> None:
+def limit_batches(spark: SparkSession) -> dict[str, str]:
     """Texts may be long: what JVM and Python hold of them at once is a batch, so batches are kept to 500 rows
-    and 4 MB (a longer text is a batch of its own) where the session would allow more."""
+    and 4 MB (a longer text is a batch of its own) where the session would allow more. What it changed, as it was."""
+    before = {}
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        now = spark.conf.get(key).rstrip("bB")
-        if not now.isdigit() or not 0 < int(now) <= most:
+        now = spark.conf.get(key)
+        if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= most:
+            before[key] = now
             spark.conf.set(key, str(most))
+    return before
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """The same while an operator saves its tables."""
+    before = limit_batches(spark)
+    try:
+        yield
+    finally:
+        for key, now in before.items():
+            spark.conf.set(key, now)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +89,16 @@ def small(df: DataFrame, rows: int) -> bool:
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int = 200_000) -> DataFrame:
     """Broadcast the right side if it has at most ``rows`` rows, else shuffle both."""
     return left.join(F.broadcast(right) if small(right, rows) else right.hint("merge"), on, how)
+
+
+def joined_hot(left: DataFrame, right: DataFrame, on: list[str], size: str, how: str = "left", rows: int = 200_000, hot: int = 100_000) -> DataFrame:
+    """The same where ``size`` tells how many rows of the left side a row of the right side meets: beyond the
+    limit, rows that meet more than ``hot`` are still broadcast, as there is at most one for so many rows of the
+    left side, and only the others are shuffled. No key in the shuffle is hot. how: left or inner."""
+    if small(right, rows):
+        return left.join(F.broadcast(right), on, how)
+    busy = right.where(F.col(size) > hot).withColumn("_hot", F.lit(True))
+    first = left.join(F.broadcast(busy), on, "left")
+    met = first.where("_hot").drop("_hot")
+    rest = first.where("_hot IS NULL").select(*left.columns)
+    return met.unionByName(rest.join(right.where(F.col(size) <= hot).hint("merge"), on, how))

@@ -132,7 +132,11 @@ def _match(items: Items, words: np.ndarray, hit: np.ndarray, place: np.ndarray,
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, item_id, score (0 to 1), first_word, end_word, seeds: one row for each document and item that match."""
-    short_batches(docs.sparkSession)
+    with short_batches(docs.sparkSession):
+        return _contaminated(docs, benchmark, id_col, text_col, item_col, item_text, least)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, least: float) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(filled(F.col(text_col).cast("string"))).alias("text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.lower(filled(F.col(item_text).cast("string"))).alias("text"))

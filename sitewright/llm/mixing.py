@@ -20,6 +20,8 @@ from .common import WORD, filled, joined, save
 
 WEIGHTS = (3, 1, 2)
 BITS, LEVELS = 12, 4
+#: A source is taken so many times, at most.
+MOST = 2
 
 
 def number_of(id_col: str):
@@ -42,7 +44,7 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     )
 
 
-def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, num: int = 3, den: int = 2, most: int = 2) -> DataFrame:
+def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, num: int = 3, den: int = 2, most: int = MOST) -> DataFrame:
     """Adds target to source_key, source, source_size. The budget is num/den of all sizes; what a source
     cannot use beyond ``most`` times its size goes to the others by weight. Sources fill up in the order of
     size over weight, so the level at which the rest stands follows from running sums: no iteration. One row a
@@ -103,8 +105,10 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return goals.join(thresholds(rows, goals), "source_key").drop("source")
 
 
-def _copies():
-    return F.col("copies") + (F.col("number") < F.col("bound")).cast("long")
+def _copies(copies: str = "copies", number="number", bound: str = "bound"):
+    """A full source has no budget left: a document without words before its bound gets no third copy."""
+    number = F.col(number) if isinstance(number, str) else number
+    return F.least(F.col(copies) + (number < F.col(bound)).cast("long"), F.lit(MOST).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -119,6 +123,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = save(sizes(docs, id_col, text_col, source_col), "mix-rows")
     chosen = save(plan(rows, weights), "mix-plan").select("source_key", F.col("copies").alias("_mix_copies"), F.col("bound").alias("_mix_bound"))
     keyed = docs.withColumn("source_key", source_key(source_col))
-    times = F.col("_mix_copies") + (number_of(id_col) < F.col("_mix_bound")).cast("long")
+    times = _copies("_mix_copies", number_of(id_col), "_mix_bound")
     repeated = joined(keyed, chosen, ["source_key"]).withColumn("_mix_times", times).where("_mix_times > 0")
     return repeated.withColumn("_mix_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))).select(*docs.columns)

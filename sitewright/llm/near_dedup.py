@@ -185,7 +185,11 @@ def full_sets(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, limit: int = LIMIT) -> DataFrame:
     """id, n_shingles, component_id, kept for each row."""
-    short_batches(docs.sparkSession)
+    with short_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, percent, limit)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int, limit: int) -> DataFrame:
     bands = bands_for(percent / 100)
     hashes = bands * ROWS
     signed = save(signatures(docs, bands, id_col, text_col), "near-signatures")

@@ -116,4 +116,5 @@ ORACLES = {
         SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, k.source_size, k.target,
                CAST(d.size * (k.copies + CASE WHEN b.bound IS NULL OR d.number < b.bound THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source""",
+    "op4_licenses": licenses.sql(),
 }

@@ -16,7 +16,7 @@ its rows; their names must differ from the one it adds, which is a parameter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import filled, save, short_batches
+from .common import drop, filled, save, short_batches
 
 BITS = 20
 FIT_ROWS = 16_000
@@ -64,38 +64,58 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.lower(filled(F.col(text_col).cast("string"))).alias("text"))
 
 
-def learn(it: Iterator[tuple[np.ndarray, int]], how: Ftrl) -> Weights:
-    """FTRL-proximal over (features, label) in order, ``passes`` times."""
-    data = list(it)
-    n, z = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    positive = sum(y for _, y in data)
-    bias = float(np.log((positive + 0.5) / (len(data) - positive + 1.5)))
-    bias_n = 0.0
-    for _ in range(how.passes):
-        for x, y in data:
-            zx, nx = z[x], n[x]
-            root = np.sqrt(nx)
-            w = np.where(np.abs(zx) <= how.l1, 0.0, (np.sign(zx) * how.l1 - zx) / ((how.beta + root) / how.alpha + how.l2))
-            p = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35)))
-            g = p - y
-            step = (np.sqrt(nx + g * g) - root) / how.alpha
-            z[x] = zx + g - step * w
-            n[x] = nx + g * g
-            bias_n += g * g
-            bias -= 0.1 * g / (1 + np.sqrt(bias_n))
-    w = np.where(np.abs(z) <= how.l1, 0.0, (np.sign(z) * how.l1 - z) / ((how.beta + np.sqrt(n)) / how.alpha + how.l2))
-    place = np.flatnonzero(w)
-    return Weights(bias, place, w[place])
+@dataclass
+class State:
+    """What FTRL-proximal knows between passes: bounded by the coordinates, whatever the rows."""
+
+    bias: float
+    bias_n: float
+    z: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def start(cls, rows: int, positive: int) -> State:
+        return cls(float(np.log((positive + 0.5) / (rows - positive + 1.5))), 0.0, np.zeros(1 << BITS), np.zeros(1 << BITS))
+
+    def weights(self, how: Ftrl) -> Weights:
+        z, n = self.z, self.n
+        w = np.where(np.abs(z) <= how.l1, 0.0, (np.sign(z) * how.l1 - z) / ((how.beta + np.sqrt(n)) / how.alpha + how.l2))
+        place = np.flatnonzero(w)
+        return Weights(self.bias, place, w[place])
+
+
+def learn(rows: Iterable[tuple[np.ndarray, int]], state: State, how: Ftrl) -> State:
+    """One pass of FTRL-proximal over (features, label) in order; no row is held."""
+    n, z = state.n, state.z
+    for x, y in rows:
+        zx, nx = z[x], n[x]
+        root = np.sqrt(nx)
+        w = np.where(np.abs(zx) <= how.l1, 0.0, (np.sign(zx) * how.l1 - zx) / ((how.beta + root) / how.alpha + how.l2))
+        p = 1 / (1 + np.exp(-np.clip(state.bias + w.sum(), -35, 35)))
+        g = p - y
+        step = (np.sqrt(nx + g * g) - root) / how.alpha
+        z[x] = zx + g - step * w
+        n[x] = nx + g * g
+        state.bias_n += g * g
+        state.bias -= 0.1 * g / (1 + np.sqrt(state.bias_n))
+    return state
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, how: Ftrl = Ftrl()) -> Weights:
-    """Weights from the labelled texts of a bounded sample, in one task; their features are made in many."""
-    short_batches(docs.sparkSession)
+    """Weights from the labelled texts of a bounded sample; their features are made in many tasks, and each pass
+    streams them through one, which keeps the state alone."""
+    with short_batches(docs.sparkSession):
+        return _fit(docs, labels, id_col, text_col, label_col, fit_rows, how)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int, how: Ftrl) -> Weights:
+    spark = docs.sparkSession
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("fit"))
     # the id and the label alone are ordered; the texts of the chosen rows follow
     marks = marks.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"), order.alias("order")).orderBy("order", "id", "y").limit(fit_rows)
-    chosen = _rows(docs, id_col, text_col).join(F.broadcast(save(marks, "toxicity-sample")), "id").select("order", "y", "text")
+    marks = save(marks, "toxicity-sample")
+    chosen = _rows(docs, id_col, text_col).join(F.broadcast(marks), "id").select("order", "y", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,25 +131,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["order", "y", "x"])
 
     made = save(chosen.mapInArrow(hashed, "order long, y int, x binary"), "toxicity-features")
+    rows, positive = made.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not rows:
+        drop(marks, made)
+        return Weights(float(np.log(1 / 3)), np.zeros(0, np.int64), np.zeros(0))
+    state = State.start(rows, positive)
+    ordered = made.repartition(1).sortWithinPartitions("order", "y", "x")
+    for _ in range(how.passes):
+        sent = spark.sparkContext.broadcast(state)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
+        def train(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = State(sent.value.bias, sent.value.bias_n, sent.value.z.copy(), sent.value.n.copy())
             for b in batches:
-                for y, x in zip(b.column(1).to_pylist(), W.binaries(b.column(2)), strict=True):
-                    yield x.view(np.uint32), y
-
-        w = learn(rows(), how)
-        W.give_back()
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, w.place)), pa.array(np.append(w.bias, w.value))], ["place", "value"])
+                learn(((x.view(np.uint32), y) for y, x in zip(b.column(1).to_pylist(), W.binaries(b.column(2)), strict=True)), own, how)
+            W.give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([own.bias]), pa.array([own.bias_n]), pa.array([own.z.tobytes()], pa.binary()), pa.array([own.n.tobytes()], pa.binary())], ["bias", "bias_n", "z", "n"])
 
-    got = made.repartition(1).sortWithinPartitions("order", "y", "x").mapInArrow(train, "place long, value double").collect()
-    place, value = np.array([r.place for r in got]), np.array([r.value for r in got])
-    return Weights(float(value[0]), place[1:], value[1:]) if len(got) else Weights(float(np.log(1 / 3)), np.zeros(0, np.int64), np.zeros(0))
+        got = ordered.mapInArrow(train, "bias double, bias_n double, z binary, n binary").first()
+        state = State(got.bias, got.bias_n, np.frombuffer(bytes(got.z)).copy(), np.frombuffer(bytes(got.n)).copy())
+        sent.destroy()
+    drop(marks, made)
+    return state.weights(how)
 
 
 def score(docs: DataFrame, weights: Weights, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The rows with their scores; no column is lost, and no row moves."""
-    short_batches(docs.sparkSession)
+    """The rows with their scores; no column is lost, and no row moves. Run it with batches of texts kept short
+    (common.limit_batches) where texts may be long."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,4 +189,6 @@ def held_out(id_col: str):
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """id, held_out, score, predicted for each row. Labels of held-out ids are not used."""
     weights = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, label_col, fit_rows)
-    return score(docs.select(id_col, text_col), weights, text_col).select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    with short_batches(docs.sparkSession):
+        scored = score(docs.select(id_col, text_col), weights, text_col)
+        return save(scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")), "toxicity-scores")

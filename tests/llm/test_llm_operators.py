@@ -177,8 +177,8 @@ def test_licenses(spark):
     ]
     got = licenses.scan(spark.createDataFrame([(*r, "a", 1) for r in made], "doc_id long, text string, row string, at int")).collect()
     assert sorted((r.doc_id, r.license) for r in got) == [(1, "CC-BY-NC-4.0"), (2, "Apache-2.0"), (3, "MIT"), (5, "BSD-3-Clause"), (6, "BSD-2-Clause"), (10, "MIT"), (11, "Apache-2.0"), (11, "MIT")]
-    for s in licenses.SENTENCES.values():
-        assert any(c in s.lower() for c in licenses.CUES)
+    every = licenses.SENTENCES | {f"spdx-{x.lower()}": "license" for x in licenses.SPDX}
+    assert all(any(c in every[x].lower() for x in seq for c in licenses.CUES) for _, seq in licenses.RULES)
 
 
 def test_warc(spark, tmp_path):
@@ -535,3 +535,140 @@ def test_licenses_in_narrow_columns(spark):
     made = [(1, "Title\n" + re.sub(r"(.{1,30}) ", r"\1\n", mit) + "\nend"), (2, mit.replace(" ", "\n\n")), (3, isc.replace(" ", "\n")), (4, mit.replace(" ", "\n").replace("deal", "deals")), (5, "Released under the MIT\nLicense. Now")]
     got = licenses.scan(spark.createDataFrame(made, "doc_id long, text string").coalesce(1)).collect()
     assert sorted((r.doc_id, r.license) for r in got) == [(1, "MIT"), (2, "MIT"), (3, "ISC"), (5, "MIT")]
+
+
+@pytest.fixture
+def shuffled(monkeypatch):
+    """As if every table were too large to broadcast."""
+    from sitewright.llm import common
+
+    monkeypatch.setattr(common, "small", lambda df, rows: False)
+
+
+def test_records_without_layout(spark):
+    """Broken and unknown records stay, with null; fields that no layout knows do not count; roles stay."""
+    made = [
+        (1, '{"prompt": "p", "prompt": "q", "response": "r"}', None), (2, '{"prompt": ', None), (3, None, None), (4, "[1]", None), (5, '{"prompt": ["p"], "response": "r"}', None),
+        (6, '{"id": 7, "messages": [{"role": "human", "content": "c", "weight": 1}, {"role": "bot", "content": "d", "meta": {"role": [1]}}]}', [("human", "c"), ("bot", "d")]),
+        (7, '{"conversations": [{"from": "human", "value": "c"}, {"from": "bot", "value": "d"}], "source": {"a": [1]}}', [("user", "c"), ("assistant", "d")]),
+        (8, '{"messages": [{"role": {"a": 1}, "content": "c"}]}', None), (9, '{"messages": "text"}', None), (10, '{"messages": [], "prompt": "p", "response": "r"}', None), (11, "{}", None),
+        (12, '{"messages": [{"content": "c"}, {"role": "user"}]}', [("", "c"), ("user", "")]),
+    ]
+    turned = chat.canonical(spark.createDataFrame([r[:2] for r in made], "id long, body string"))
+    out = {r.id: r for r in chat.formatted(turned).select("id", "formatted", "spans", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    assert len(out) == len(made)
+    for i, _, want in made:
+        assert (out[i].t and [tuple(t) for t in out[i].t]) == want and (out[i].formatted is None) == (out[i].spans is None) == (want is None), i
+
+
+def test_mix_of_a_full_source(spark):
+    """Documents without words get no third copy where a source is taken twice."""
+    made = [(i, "" if i % 3 else "a b c", "a") for i in range(300)] + [(1000 + i, "a b c d e f g h i j", "b") for i in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert {r.copies for r in got if r.source == "a"} == {2} and max(r.copies for r in got) == 2
+    assert Counter(r.doc_id for r in mixing.mixed(docs).collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
+
+
+def brute_licenses(text):
+    """Licences of a text by its words: known sentences between cuts, then rules in their order."""
+    cut = re.sub(r"([.;:])[ \t\n\x0b\f\r]+", "\\1\n", (text or "").lower())
+    pieces = [re.findall(r"[^\W_]+", p) for p in re.split("[\r\n]+", cut)]
+    words = [w for p in pieces for w in p]
+    edges, at = {0}, 0
+    for p in pieces:
+        at += len(p)
+        edges.add(at)
+    found, at = [], 0
+    while at < len(words):
+        for sentence, name in licenses.known().items():
+            s = sentence.split()
+            if at in edges and at + len(s) in edges and words[at : at + len(s)] == s:
+                found.append(name)
+                at += len(s)
+                break
+        else:
+            at += 1
+
+    def matches(seq, line):
+        rest, out = [], 0
+        while True:
+            left = iter(range(len(line)))
+            place = [next((i for i in left if line[i] == x), None) for x in seq]
+            if None in place:
+                return out, line
+            out, line = out + 1, [x for i, x in enumerate(line) if i not in place]
+
+    names = set()
+    for name, seq in licenses.RULES:
+        line = found
+        for long in licenses.outer(name, seq):
+            line = matches(long, line)[1]
+        if matches(seq, line)[0]:
+            names.add(name)
+    return names
+
+
+def test_licenses_by_brute_force(spark):
+    """Notices in random order, wrapped at 20 to 80 columns, behind marks of comments, with other lines between."""
+    rng = random.Random(18)
+    every = licenses.SENTENCES | {f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}" for x in licenses.SPDX}
+    made = []
+    for i in range(300):
+        out = []
+        for _ in range(rng.randint(1, 3)):
+            for x in rng.choice(licenses.RULES)[1]:
+                width, mark = rng.randint(20, 80), rng.choice(["", "# ", " * ", "// "])
+                s = every[x] if rng.random() < 0.9 else every[x].replace("the", "a")
+                out.append("\n".join(mark + y for y in re.sub(rf"(.{{1,{width}}})(?: |$)", r"\1\n", s).rstrip("\n").split("\n")))
+                if rng.random() < 0.3:
+                    out.append(rng.choice(["", "Something else.", "Copyright 2020; all rights reserved", "and more of the license"]))
+        made.append((i, rng.choice(["\n", "\r\n", " ", "\n\n"]).join(out)))
+    want = {(i, name) for i, t in made for name in brute_licenses(t)}
+    got = licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == want and len(got) == len(want) > 250 and len({n for _, n in want}) > 35
+
+
+def test_licenses_between_others(spark):
+    bsd = [licenses.SENTENCES[k] for k in ("bsd-redistribution", "bsd-source", "mit-ref", "bsd-binary")]
+    end = licenses.SENTENCES["bsd-endorse"]
+    twice = [*bsd, end, *bsd]
+    made = [(1, "\n".join(bsd)), (2, "\n".join([*bsd, end])), (3, "\n".join(twice)), (4, "Not released under the MIT License."), (5, "\n".join(reversed(bsd)))]
+    got = licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "BSD-2-Clause"), (1, "MIT"), (2, "BSD-3-Clause"), (2, "MIT"), (3, "BSD-2-Clause"), (3, "BSD-3-Clause"), (3, "MIT"), (5, "MIT")]
+
+
+def test_ftrl_by_brute_force():
+    """The vectorised pass is FTRL-proximal as the paper has it, one coordinate at a time."""
+    import math
+
+    import numpy as np
+
+    rng, how = random.Random(19), toxicity.Ftrl(l1=0.5)
+    made = [(sorted(rng.sample(range(40), rng.randint(0, 12))), rng.randint(0, 1)) for _ in range(200)]
+    state = toxicity.State.start(len(made), sum(y for _, y in made))
+    z, n, bias, bias_n = [0.0] * 40, [0.0] * 40, state.bias, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= how.l1 else -(z[i] - math.copysign(how.l1, z[i])) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+    for _ in range(2):
+        state = toxicity.learn(((np.array(x, np.uint32), y) for x, y in made), state, how)
+        for x, y in made:
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - y
+            for i in x:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= 0.1 * g / (1 + math.sqrt(bias_n))
+    got = state.weights(how)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert abs(got.bias - bias) < 1e-9 and list(got.place) == sorted(want) and all(abs(v - want[i]) < 1e-9 for i, v in zip(got.place, got.value))
+
+
+def test_session_as_before(spark, docs):
+    keys = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = [spark.conf.get(k) for k in keys]
+    near_dedup.near_duplicates(docs.limit(5)).collect()
+    toxicity.toxicity(docs.limit(5), docs.limit(5).select("doc_id", F.lit(1).alias("toxic"))).collect()
+    decontamination.contaminated(docs.limit(5), docs.limit(2).select(F.col("doc_id").alias("item_id"), "text")).collect()
+    assert [spark.conf.get(k) for k in keys] == before
