@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.llm import decontamination, mixing, near_dedup, sharding, toxicity
-from sitewright.llm.common import joined, save, table
+from sitewright.llm.common import joined, limit_batches, save, table
 
 #: Near duplicates share 80 of 100 five-word shingles.
 PERCENT = 80
@@ -20,6 +20,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Texts with a score of 1/2 or more go. Labels of held-out documents are not learnt here either."""
     labels = table(spark, sf_dir, "labels")
     weights = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id")))
+    # this session is the pipeline's own, and the plan below runs when the stage's rows are written
+    limit_batches(spark)
     return toxicity.score(docs, weights, score_col="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
