@@ -8,8 +8,9 @@ missing one. The best score, as a share of the item's words, is reported from ``
 aligned only where its words that the item has, less half of the others, could come to that score. Seeds belong
 to one passage while the gaps that ``least`` allows could lie between them, 2 * (1 - least) * its words.
 
-The items are the side that is sent to every task. They are taken MAX_ITEMS at a time, each slice with its own
-pass, so what is sent stays bounded whatever their number; texts are never shuffled.
+The items are sent to the tasks in slices of at most about MAX_ITEMS and MAX_BYTES. There is one pass over the
+documents, whatever the number of slices: a task hashes the words of a batch once and holds one slice after the
+other against it, so its memory is bounded. Texts are never shuffled.
 
 A null text counts as empty; an item without words matches nothing; one with fewer words than an n-gram is
 found where all of them stand in a row. Items with equal texts each match. Rows with equal ids are reported each. Without documents or items
@@ -29,7 +30,7 @@ from . import words as W
 from .common import filled, save, short_batches
 
 N = 3
-MAX_ITEMS = 20_000
+MAX_ITEMS, MAX_BYTES = 20_000, 16 << 20
 LEAST = 0.5
 
 
@@ -140,45 +141,61 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(filled(F.col(text_col).cast("string"))).alias("text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.lower(filled(F.col(item_text).cast("string"))).alias("text"))
-    slices = max(1, -(-tests.count() // MAX_ITEMS))
-    out = None
+    count, size = tests.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    slices = max(1, -(-count // MAX_ITEMS), -(-size // MAX_BYTES))
+    sent = []
     for s in range(slices):
-        part = tests.where(F.pmod(F.xxhash64("text", "item"), F.lit(slices)) == s).orderBy("item", "text").collect() if slices > 1 else tests.orderBy("item", "text").collect()
-        items = Items([r.item for r in part], [r.text for r in part])
-        found = save(_slice(spark, rows, items, least), "decontamination")
-        out = found if out is None else out.union(found)
+        part = tests.where(F.pmod(F.xxhash64("text", "item"), F.lit(slices)) == s) if slices > 1 else tests
+        part = part.orderBy("item", "text").collect()
+        sent.append(spark.sparkContext.broadcast(Items([r.item for r in part], [r.text for r in part])))
+    out = save(_search(rows, sent, least), "decontamination")
+    for b in sent:
+        b.destroy()
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "score", "first_word", "end_word", "seeds")
 
 
-def _slice(spark, rows: DataFrame, items: Items, least: float) -> DataFrame:
-    sent = spark.sparkContext.broadcast(items)
+def _found(items: Items, h: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """Row, item, score, first word, end and seeds of each match in a block of rows (of which these are the words'
+    hashes, and each row's first word)."""
+    g, whole = grams_of(h, at)
+    k, is_in = W.find(items.all, g)
+    place = np.flatnonzero(is_in & whole)
+    doc = np.searchsorted(at, place, "right") - 1
+    for d in np.unique(doc):
+        lo, hi = np.searchsorted(doc, [d, d + 1])
+        p = place[lo:hi]
+        for m in _match(items, h[at[d] : at[d + 1]], k[p], p - at[d], least):
+            yield int(d), items.ids[m[0]], *m[1:]
+    for n, wanted in items.short.items():
+        g, whole = grams_of(h, at, n)
+        place = np.flatnonzero(W.find(np.array(sorted(wanted), np.uint64), g)[1] & whole)
+        found: dict[tuple[int, int], list[int]] = {}
+        for p, d in zip(place, np.searchsorted(at, place, "right") - 1, strict=True):
+            found.setdefault((int(d), int(g[p])), []).append(int(p - at[d]))
+        for (d, x), p in found.items():
+            for m in wanted[x]:
+                yield d, items.ids[m], 1.0, p[0], p[0] + n, len(p)
+
+
+def _search(rows: DataFrame, sent: list, least: float) -> DataFrame:
+    names = ["doc", "item", "score", "first_word", "end_word", "seeds"]
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = sent.value
         for batch in batches:
             ids = batch.column(0)
             data, ends = W.texts(batch.column(1))
+            # words are hashed once, whatever the slices; of the slices a task holds one
+            hashed = [(i, *W.word_hashes(data, ends[i : j + 1], lower=True, inner=True)[::3]) for i, j in W.blocks(ends)]
             out = []
-            for i, j in W.blocks(ends):
-                h, _, _, at = W.word_hashes(data, ends[i : j + 1], lower=True, inner=True)
-                g, whole = grams_of(h, at)
-                k, is_in = W.find(it.all, g)
-                place = np.flatnonzero(is_in & whole)
-                doc = np.searchsorted(at, place, "right") - 1
-                for d in np.unique(doc):
-                    lo, hi = np.searchsorted(doc, [d, d + 1])
-                    p = place[lo:hi]
-                    for m in _match(it, h[at[d] : at[d + 1]], k[p], p - at[d], least):
-                        out.append((ids[int(i + d)].as_py(), it.ids[m[0]], *m[1:]))
-                for n, wanted in it.short.items():
-                    g, whole = grams_of(h, at, n)
-                    place = np.flatnonzero(W.find(np.array(sorted(wanted), np.uint64), g)[1] & whole)
-                    found: dict[tuple[int, int], list[int]] = {}
-                    for p, d in zip(place, np.searchsorted(at, place, "right") - 1, strict=True):
-                        found.setdefault((int(d), int(g[p])), []).append(int(p - at[d]))
-                    for (d, x), p in found.items():
-                        out += [(ids[i + d].as_py(), it.ids[m], 1.0, p[0], p[0] + n, len(p)) for m in wanted[x]]
+            for part in sent:
+                items = part.value
+                for i, h, at in hashed:
+                    out += [(ids[i + d].as_py(), *m) for d, *m in _found(items, h, at, least)]
+                if len(sent) > 1:
+                    items = None
+                    part.__dict__.pop("_value", None)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc", "item", "score", "first_word", "end_word", "seeds"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return rows.mapInArrow(search, "doc long, item long, score double, first_word long, end_word long, seeds long")

@@ -3,9 +3,9 @@
 The index has one entry for each distinct key (a 64-bit hash of the text): rows, largest id. Entries lie in
 bucket files; the directory maps the first bits of a key to a bucket. It starts with one bucket and doubles
 while a bucket holds more than ``capacity`` keys, so only crowded key ranges get deeper. Equal texts collapse
-before any shuffle, so a text that a third of all rows hold is still one key. Rows whose key occurs more than
-once meet in the task that owns the key, which compares the bytes: texts that differ under one key form a
-chain, and are told apart by their bytes from then on.
+before any shuffle, so a text that a third of all rows hold is still one key. Texts whose key occurs more than
+once are compared byte by byte; the directory leads their classes to the bucket of their key, whose owner task
+strings those that differ under one key to a chain.
 
 Null text counts as empty, and empty texts equal each other. Of equal texts the row with the largest id stays;
 a null id is smaller than any other. Rows repeated with the same id and text count each, and are marked alike.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop, filled, joined, new_path, save, small
+from .common import drop, filled, joined, joined_hot, new_path, save, small
 
 #: Keys of a bucket file, at most (unless one range of MAX_DEPTH bits has more).
 CAPACITY = 1 << 16
@@ -29,12 +29,13 @@ MAX_DEPTH = 20
 
 @dataclass(frozen=True)
 class HashIndex:
-    """rows: id, key, sha256 of each row. directory: cell (the key's first MAX_DEPTH bits), depth, bucket.
+    """rows: id, key, sha256 of each row. directory: cell (the key's first ``depth`` bits), depth, bucket.
     entries: key, rows, top (the largest id), in one file for each bucket."""
 
     rows: DataFrame
     directory: DataFrame
     entries: DataFrame
+    depth: int
 
 
 def text_key(text: Column) -> Column:
@@ -54,6 +55,12 @@ def directory_of(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     return cells.select("cell", "depth", (F.expr("shiftleft(1L, depth)") + bits).alias("bucket"))
 
 
+def placed(keys: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """Adds the bucket of each key, by the directory, which has 2**MAX_DEPTH rows at most."""
+    cells = keys.withColumn("cell", F.shiftrightunsigned("key", 64 - depth))
+    return joined(cells, directory.select("cell", "bucket"), ["cell"], rows=1 << MAX_DEPTH).drop("cell")
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key=text_key, capacity: int = CAPACITY) -> HashIndex:
     text = filled(F.col(text_col).cast("string"))
     rows = save(docs.select(F.col(id_col).alias("id"), key(text).alias("key"), F.unhex(F.sha2(text, 256)).alias("sha")), "dedup-rows")
@@ -64,43 +71,33 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         depth += 1
     directory = save(directory_of(keys, capacity, depth), "dedup-directory")
     path = new_path(spark, "dedup-index")
-    placed = joined(keys.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)), directory, ["cell"])
-    placed.select("bucket", "key", "rows", "top").repartition("bucket").write.partitionBy("bucket").parquet(path)
+    placed(keys, directory, depth).select("bucket", "key", "rows", "top").repartition("bucket").write.partitionBy("bucket").parquet(path)
     schema = "key long, rows long, top " + dict(keys.dtypes)["top"] + ", bucket long"
     drop(keys)
-    return HashIndex(rows, directory, spark.read.schema(schema).parquet(path))
+    return HashIndex(rows, directory, spark.read.schema(schema).parquet(path), depth)
 
 
-def chains(docs: DataFrame, index: HashIndex, id_col: str = "doc_id", text_col: str = "text", key=text_key) -> DataFrame:
-    """For each key of several rows, the classes of rows whose bytes are equal: key, text, keep_id, group_size,
-    and how many classes the key's chain has."""
+def chains(docs: DataFrame, index: HashIndex, id_col: str = "doc_id", text_col: str = "text", key=text_key, few: int = 1_000_000) -> DataFrame:
+    """The classes of rows whose bytes are equal, of keys with several rows: bucket, key, sha, keep_id, group_size,
+    and their place in the key's chain. Equal texts collapse where they are read, so a text moves once from each
+    task, and only if its key is shared; keys shared beyond ``few`` are not sent, and all texts collapse so. The
+    owner of a bucket then strings the classes of each key, told apart by SHA-256 from here on."""
     text = filled(F.col(text_col).cast("string"))
     shared = index.entries.where("rows > 1").select("key")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", key(F.col("text")))
-    classes = joined(rows, shared, ["key"], "left_semi", 1_000_000).groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    return save(classes.withColumn("chain", F.count("*").over(W.partitionBy("key"))), "dedup-classes")
+    if small(shared, few):
+        rows = rows.join(F.broadcast(shared), "key", "left_semi")
+    classes = rows.groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    classes = classes.select("key", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
+    owned = placed(classes, index.directory, index.depth).repartition("bucket")
+    chain = F.row_number().over(W.partitionBy("bucket", "key").orderBy("sha"))
+    return save(owned.withColumn("chain", chain).where("group_size > 1"), "dedup-classes")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key=text_key, capacity: int = CAPACITY) -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 for each row."""
     index = build_index(docs, id_col, text_col, key, capacity)
-    classes = chains(docs, index, id_col, text_col, key)
-    single = classes.where("chain = 1").select("key", "keep_id", "group_size")
-    chained = classes.where("chain > 1")
-    rows, parts = index.rows, []
-    if chained.limit(1).count():
-        keys = chained.select("key").distinct()
-        text = filled(F.col(text_col).cast("string"))
-        again = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", key(F.col("text")))
-        again = joined(joined(again, keys, ["key"], "left_semi"), chained, ["key", "text"], rows=2_000)
-        parts.append(again.select("id", "keep_id", "group_size", F.sha2("text", 256).alias("sha")))
-        rows = joined(rows, keys, ["key"], "left_anti")
-    plain = joined(rows, single, ["key"], "left").select(
-        "id",
-        F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.lower(F.hex("sha")).alias("sha"),
-    )
-    for part in parts:
-        plain = plain.unionByName(part)
-    return plain.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    classes = chains(docs, index, id_col, text_col, key).select("key", "sha", "keep_id", "group_size")
+    out = joined_hot(index.rows, classes, ["key", "sha"], "group_size")
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

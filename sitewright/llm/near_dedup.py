@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import filled, joined, save, short_batches
+from .common import drop, filled, joined, joined_hot, save, short_batches
 from .graph import FEW, Sets, components, link_groups, sized
 
 SHINGLE, ROWS, BITS = 5, 5, 4
 #: Docs of a group that one task compares, at most.
 LIMIT = 1024
+#: Groups of more chunks than this are dealt before any shuffle.
+HOT = 100
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -201,10 +203,11 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int,
     groups = save(sized(shared, limit), "near-bands")
     # each set is judged by its own signature
     bits = heads.select(*key, "bits")
-    edges = link_groups(shared.join(groups, "gid").join(bits, key).drop(*key), groups, estimating(hashes, least_estimate(percent / 100, hashes)), limit)
+    edges = link_groups(joined_hot(shared, groups, ["gid"], "chunks", "inner", hot=HOT).join(bits, key).drop(*key), groups, estimating(hashes, least_estimate(percent / 100, hashes)), limit)
+    drop(groups)
     clusters = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("gid"))
     groups = save(sized(clusters, limit), "near-clusters")
-    members = save(clusters.join(groups, "gid"), "near-members")
+    members = save(joined_hot(clusters, groups, ["gid"], "chunks", "inner", hot=HOT), "near-members")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), filled(F.col(text_col).cast("string")).alias("text"))
     links = link_groups(full_sets(joined(texts, members, ["doc"], rows=FEW)), groups, comparing(percent), limit)
     # an id of several sets hangs together with the ids that stand for them

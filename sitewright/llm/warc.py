@@ -6,7 +6,7 @@ ones are equal is told by SHA-256 over small rows, and the payloads are not shuf
 digests are too many to broadcast. Spark's text writer makes the files, with the record separator as line
 separator, so any file system that Spark reaches will do; a file holds at most PAGES_A_FILE pages.
 
-Reading: files are parsed by content length, never by searching for a separator, which a payload may contain.
+Reading: files, of one gzip member or many, are streamed and parsed by content length, never by searching for a separator, which a payload may contain.
 Request and metadata records name the response they belong to in WARC-Concurrent-To; joins on that identifier
 give one nested row for each capture. Revisits find the payload's length through WARC-Refers-To.
 
@@ -18,15 +18,18 @@ than the three named are not read.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
+from itertools import chain
+from urllib.parse import urlsplit
+from urllib.request import url2pathname
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filled, joined, new_path, save
+from .common import filled, joined, joined_hot, new_path, save
 
 LEAST_REVISIT, PAGES_A_FILE = 1000, 2000
 CRLF, END = "\r\n", "\r\n\r\n"
@@ -61,8 +64,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     large = F.octet_length("payload") >= LEAST_REVISIT
     keyed = base.withColumn("sha", F.unhex(F.sha2(body, 256)))
     seen = keyed.where(large).groupBy("sha").agg(F.max("page").alias("top"), F.count("*").alias("n"))
-    again = save(seen.where("n > 1").select("sha", "top"), "warc-repeated")
-    known = joined(keyed, again, ["sha"], "left")
+    again = save(seen.where("n > 1"), "warc-repeated")
+    # a payload may be that of a third of all pages
+    known = joined_hot(keyed, again, ["sha"], "n")
     revisit = F.coalesce(large & F.col("top").isNotNull() & ~page.eqNullSafe(F.col("top")), F.lit(False))
     uri = F.coalesce(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.concat(F.lit("urn:page:"), filled(page.cast("string"))))
     digest = _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1(body)))
@@ -80,54 +84,159 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PAGES_A_FILE).text(path)
 
 
-_SCHEMA = "kind string, record string, concurrent_to string, refers_to string, uri string, declared string, payload_bytes long, payload_sha1 string, block binary"
+_SCHEMA = "kind string, record string, concurrent_to array<string>, refers_to string, uri string, declared string, payload_bytes long, payload_sha1 string, block binary"
+#: Bytes read at once, and of blocks that one batch carries; bytes of a header, at most.
+CHUNK, BATCH, HEAD = 1 << 20, 8 << 20, 16 << 20
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Header fields (names in lower case) and block of each record of an archive."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
+def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of an archive, whose gzip members may be any number, a bounded piece at a time."""
+    chunks, begin = iter(chunks), b""
+    while len(begin) < 2 and (data := next(chunks, b"")):
+        begin += data
+    unzip = zlib.decompressobj(31) if begin[:2] == b"\x1f\x8b" else None
+    for data in chain([begin], chunks):
+        if unzip is None:
+            yield data
+            continue
+        while data:
+            if unzip.eof:
+                unzip = zlib.decompressobj(31)
+            yield unzip.decompress(data, CHUNK)
+            data = unzip.unused_data if unzip.eof else unzip.unconsumed_tail
+    while unzip is not None and not unzip.eof:
+        rest = unzip.decompress(unzip.unconsumed_tail, CHUNK)
+        if not rest:
+            raise ValueError("the archive ends within a member")
+        yield rest
+
+
+class _Bytes:
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held, self.at = chunks, bytearray(), 0
+
+    def more(self) -> bool:
+        for data in self.chunks:
+            if data:
+                self.held += data
+                return True
+        return False
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before a mark; None at the end."""
+        begin = 0
+        while (end := self.held.find(mark, begin)) < 0:
+            begin = max(0, len(self.held) - len(mark) + 1)
+            if len(self.held) > HEAD:
+                raise ValueError(f"the header at byte {self.at} has no end")
+            if not self.more():
+                if self.held:
+                    raise ValueError(f"the record at byte {self.at} is cut off")
+                return None
+        out = bytes(self.held[:end])
+        del self.held[: end + len(mark)]
+        self.at += end + len(mark)
+        return out
+
+    def take(self, n: int) -> Iterator[bytes]:
+        while n:
+            if not self.held and not self.more():
+                raise ValueError(f"the record at byte {self.at} is cut off")
+            out = bytes(self.held[:n])
+            del self.held[: len(out)]
+            n, self.at = n - len(out), self.at + len(out)
+            yield out
+
+
+def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, list[str]], Iterator[bytes]]]:
+    """Header fields (names in lower case, all values of each) and the pieces of the block of each record. No
+    block is held; what a caller leaves of one is passed over."""
+    source = _Bytes(iter(chunks))
+    while (head := source.until(END.encode())) is not None:
+        lines = head.decode("utf-8").lstrip(CRLF).split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        stop = end + 4 + int(head["content-length"])
-        if stop > len(data):
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield head, view[end + 4 : stop]
-        at = stop + 4
+            raise ValueError(f"no WARC record before byte {source.at}")
+        fields: dict[str, list[str]] = {}
+        for name, _, value in (x.partition(":") for x in lines[1:]):
+            fields.setdefault(name.strip().lower(), []).append(value.strip())
+        block = source.take(int(fields["content-length"][0]))
+        yield fields, block
+        for _ in block:
+            pass
+        while source.held[:1] in (b"\r", b"\n") or (not source.held and source.more()):
+            if source.held[:1] not in (b"\r", b"\n"):
+                break
+            del source.held[:1]
+            source.at += 1
+
+
+def _measured(block: Iterator[bytes], keep: bool) -> tuple[int, str, bytes | None]:
+    """Length and SHA-1 of what follows the HTTP head in a block, and the block itself if it is to be kept."""
+    sha, n, kept, head = hashlib.sha1(), 0, [], b""
+    within = True
+    for piece in block:
+        if keep:
+            kept.append(piece)
+        if within:
+            head += piece
+            end = head.find(END.encode())
+            if end < 0:
+                continue
+            within, piece = False, head[end + 4 :]
+        sha.update(piece)
+        n += len(piece)
+    return n, sha.hexdigest(), b"".join(kept) if keep else None
 
 
 def read_records(spark: SparkSession, path: str, blocks: bool = False) -> DataFrame:
     """All records under a path. Of payloads the length and SHA-1 are measured; blocks of responses come along
-    on request, those of metadata records always."""
+    on request, those of metadata records always. Archives on a mounted file system are streamed, so their size
+    does not matter; from other stores a file comes as one value, of 2 GB at most."""
+    one = lambda head, name: (head.get(name) or [None])[0]
+
+    def rows(chunks: Iterator[bytes]) -> Iterator[tuple]:
+        for head, block in parse(inflated(chunks)):
+            kind, n, sha, own = one(head, "warc-type"), None, None, None
+            if kind == "response":
+                n, sha, own = _measured(block, blocks)
+            elif blocks or kind == "metadata":
+                own = b"".join(block)
+            yield kind, one(head, "warc-record-id"), head.get("warc-concurrent-to"), one(head, "warc-refers-to"), one(head, "warc-target-uri"), one(head, "warc-payload-digest"), n, sha, own
+
+    def opened(value: str | bytes) -> Iterator[bytes]:
+        if isinstance(value, bytes):
+            yield from (value[i : i + CHUNK] for i in range(0, len(value), CHUNK))
+            return
+        with open(url2pathname(urlsplit(value).path), "rb") as fh:
+            while data := fh.read(CHUNK):
+                yield data
+
+    names = [x.split()[0] for x in _SCHEMA.split(", ")]
+    types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _SCHEMA.split(", ")]
+        out, size = [], 0
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
-                out = []
-                for head, block in parse(data):
-                    kind, n, sha = head.get("warc-type"), None, None
-                    if kind == "response":
-                        body = block[bytes(block[:65536]).index(b"\r\n\r\n") + 4 :]
-                        n, sha = len(body), hashlib.sha1(body).hexdigest()
-                    out.append((kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-payload-digest"), n, sha, bytes(block) if blocks or kind == "metadata" else None))
-                if out:
-                    yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "payload_bytes" else pa.binary() if k == "block" else pa.string()) for k, v in zip(names, zip(*out, strict=True), strict=True)})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,gz,warc}").load(path).select("content")
-    return files.mapInArrow(records, _SCHEMA)
+                for row in rows(opened(content.as_py())):
+                    out.append(row)
+                    size += len(row[-1] or b"") + 300
+                    if size > BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,gz,warc}").load(path)
+    first = files.select("path").first()
+    mounted = first is None or urlsplit(first.path).scheme in ("", "file")
+    return files.select("path" if mounted else "content").mapInArrow(records, _SCHEMA)
 
 
 def captures(records: DataFrame) -> DataFrame:
     """One row for each response or revisit record: record, kind, uri, response, request, metadata (structs)."""
     main = records.where("kind IN ('response', 'revisit')").select("record", "kind", "uri", F.struct("declared", "payload_bytes", "payload_sha1", "refers_to", "block").alias("response"))
-    side = lambda kind: records.where((F.col("kind") == kind) & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("record")).agg(F.min_by(F.struct(F.col("record").alias("id"), "uri", "block"), "record").alias(kind))
+    side = lambda kind: records.where(F.col("kind") == kind).withColumn("of", F.explode("concurrent_to")).groupBy(F.col("of").alias("record")).agg(F.min_by(F.struct(F.col("record").alias("id"), "uri", "block"), "record").alias(kind))
     return main.join(side("request"), "record", "left").join(side("metadata"), "record", "left")
 
 

@@ -199,7 +199,7 @@ def test_warc(spark, tmp_path):
     lonely = records.where("kind IN ('response', 'revisit')")
     assert warc.captures(lonely).where("request IS NOT NULL OR metadata IS NOT NULL").count() == 0
     with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+        list(warc.parse([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"]))
 
 
 def brute_near(made, percent):
@@ -728,3 +728,71 @@ def test_pii_by_brute_force(spark, shuffled):
         got = regex.fullmatch("([^¦]+?)".join(map(regex.escape, between)), out[i])
         assert got and all(values.setdefault(m, v) == v for m, v in zip(found, got.groups()))
     assert len(values) == len(set(values.values())) == len(people) and not set(values.values()) & set(people)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_shuffled(docs, rows, weak, shuffled):
+    test_exact(docs, rows, weak, 5)
+
+
+def test_others_shuffled(spark, docs, rows, shuffled, tmp_path):
+    """Results are the same where no table is broadcast."""
+    test_mixing(docs, rows)
+    test_near(docs, rows, 85, 4)
+    test_warc(spark, tmp_path)
+
+
+def test_copies_shuffled(spark):
+    """Rows that meet a hot key: those beyond the limit are broadcast, the others shuffled."""
+    from sitewright.llm import common
+
+    left = spark.createDataFrame([(i % 7, i) for i in range(100)] + [(9, 1), (None, 2)], "k long, v long")
+    right = spark.createDataFrame([(i, 20 if i < 2 else 5) for i in range(6)], "k long, n long")
+    for how in ("left", "inner"):
+        want = sorted(map(repr, left.join(right, ["k"], how).collect()))
+        for few in (0, 100):
+            assert sorted(map(repr, common.joined_hot(left, right, ["k"], "n", how, rows=few, hot=10).collect())) == want
+
+
+def test_chains(spark):
+    """The directory leads each class to the bucket of its key, where those of one key are strung."""
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(200)], "doc_id long, text string")
+    key = lambda c: F.xxhash64(c).bitwiseAND(F.lit(-1 << 59))
+    index = exact_dedup.build_index(docs, key=key, capacity=3)
+    buckets = {r.cell: r.bucket for r in index.directory.collect()}
+    assert len(set(buckets.values())) > 5
+    got = exact_dedup.chains(docs, index, key=key).collect()
+    by_key = defaultdict(list)
+    for r in got:
+        assert r.bucket == buckets[(r.key >> (64 - index.depth)) & ((1 << index.depth) - 1)] and r.group_size == 5
+        by_key[r.key].append(r.chain)
+    assert len(got) == 40 and all(sorted(c) == list(range(1, len(c) + 1)) for c in by_key.values()) and max(map(len, by_key.values())) > 1
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Archives as others write them: a member for each record, repeated fields, long heads, in small pieces."""
+    import gzip
+
+    def record(kind, ident, body, *more):
+        head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{ident}>", *more, f"content-length: {len(body)}"])
+        return head.encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\n" + b"X-Long: " + b"y" * 200_000 + b"\r\n\r\n" + b"<p>\r\n\r\n</p>" * 100_000
+    every = [
+        record("warcinfo", "i", b"software: x\r\n"), record("response", "r1", page, "WARC-Target-URI: http://a"), record("response", "r2", b"no head"), record("response", "r3", b"HTTP/1.1 200 OK\r\n\r\n"),
+        record("request", "q", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <r1>", "WARC-Concurrent-To: <r2>"), record("metadata", "m", b"page-id: 5\r\n", "WARC-Concurrent-To: <r1>"),
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "members of.warc.gz").write_bytes(b"".join(map(gzip.compress, every)))
+    (tmp_path / "a" / "one.warc").write_bytes(b"".join(every).replace(b"<r", b"<s").replace(b"-ID: <", b"-ID: <p"))
+    got = {r.record: r for r in warc.captures(warc.read_records(spark, str(tmp_path / "a"))).collect()}
+    assert set(got) == {f"<{p}{i}>" for p in ("r", "ps") for i in (1, 2, 3)}
+    body = page.split(b"\r\n\r\n", 1)[1]
+    assert got["<r1>"].response.payload_bytes == len(body) and got["<r1>"].response.payload_sha1 == hashlib.sha1(body).hexdigest() == got["<ps1>"].response.payload_sha1
+    assert got["<r1>"].request.id == got["<r2>"].request.id == "<q>" and got["<r3>"].request is None and got["<r1>"].metadata.id == "<m>" and got["<r2>"].response.payload_bytes == got["<r3>"].response.payload_bytes == 0
+    whole = b"".join(map(gzip.compress, every))
+    for n in (1, 7, 1000):
+        pieces = warc.inflated(whole[i : i + n] for i in range(0, len(whole), n))
+        assert [(h["warc-record-id"][0], sum(map(len, b))) for h, b in warc.parse(pieces)][1] == ("<r1>", len(page))
+    with pytest.raises(ValueError):
+        list(warc.inflated([whole[:-20]]))
