@@ -136,7 +136,7 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
         drop(marks, made)
         return Weights(float(np.log(1 / 3)), np.zeros(0, np.int64), np.zeros(0))
     state = State.start(rows, positive)
-    ordered = made.repartition(1).sortWithinPartitions("order", "y", "x")
+    ordered = made.coalesce(1).sortWithinPartitions("order", "y", "x")
     for _ in range(how.passes):
         sent = spark.sparkContext.broadcast(state)
 
@@ -147,7 +147,7 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
             W.give_back()
             yield pa.RecordBatch.from_arrays([pa.array([own.bias]), pa.array([own.bias_n]), pa.array([own.z.tobytes()], pa.binary()), pa.array([own.n.tobytes()], pa.binary())], ["bias", "bias_n", "z", "n"])
 
-        got = ordered.mapInArrow(train, "bias double, bias_n double, z binary, n binary").first()
+        got = ordered.mapInArrow(train, "bias double, bias_n double, z binary, n binary").collect()[0]
         state = State(got.bias, got.bias_n, np.frombuffer(bytes(got.z)).copy(), np.frombuffer(bytes(got.n)).copy())
         sent.destroy()
     drop(marks, made)

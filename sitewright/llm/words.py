@@ -1,8 +1,8 @@
 """Words and shingles of Arrow text columns, by NumPy over the bytes: no Python object for a word is made.
 
 A word's hash is the polynomial of its bytes modulo 2**64, mixed; prefix sums give all words of a block at
-once. Blocks are about a quarter of a megabyte, so memory does not depend on the size of an Arrow batch; one text
-longer than that is a block of its own.
+once. Blocks are about a quarter of a megabyte, so memory does not depend on the size of an Arrow batch; a text
+longer than that is a block of its own, and is taken in pieces.
 """
 
 from __future__ import annotations
@@ -88,10 +88,29 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False, inner:
     and characters beyond ASCII, not all that stands between spaces."""
     lo, rows = int(ends[0]), ends - ends[0]
     b = data[lo : int(ends[-1])]
+    outer = _OUTER if inner else _SPACE
+    if len(rows) > 2 or len(b) <= 2 * BLOCK:
+        h, starts, stops = _hashed(b, rows, outer, lower)
+    else:
+        # a long text is taken in pieces that end between words, so that it needs no more memory than a block
+        out, at = [], 0
+        while at < len(b):
+            end = at + BLOCK
+            while end < len(b) and not (gap := outer[b[end : end + BLOCK]]).any():
+                end += BLOCK
+            end = min(len(b), end + int(gap.argmax())) if end < len(b) else len(b)
+            h, x, y = _hashed(b[at:end], np.array([0, end - at]), outer, lower)
+            out.append((h, x + at, y + at))
+            at = end
+        h, starts, stops = (np.concatenate(x) for x in zip(*out, strict=True))
+    return h, starts, stops, np.searchsorted(starts, rows, "left")
+
+
+def _hashed(b: np.ndarray, rows: np.ndarray, outer: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(b)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(rows), np.int64)
-    word = ~(_OUTER if inner else _SPACE)[b]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word = ~outer[b]
     edge = np.zeros(n + 1, bool)
     edge[rows] = True
     first = word.copy()
@@ -103,7 +122,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False, inner:
     up, down = _powers(size)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(((_LOWER if lower else _SAME)[b].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts]), starts, stops, np.searchsorted(starts, rows, "left")
+    return mix((total[stops] - total[starts]) * down[starts]), starts, stops
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

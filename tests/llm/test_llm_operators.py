@@ -796,3 +796,24 @@ def test_archives_of_others(spark, tmp_path):
         assert [(h["warc-record-id"][0], sum(map(len, b))) for h, b in warc.parse(pieces)][1] == ("<r1>", len(page))
     with pytest.raises(ValueError):
         list(warc.inflated([whole[:-20]]))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Hashes of words do not depend on the pieces in which a long text is taken."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sitewright.llm import words as W
+
+    rng = random.Random(22)
+    for _ in range(40):
+        text = "".join(rng.choice("ab, é漢A\n") if rng.random() < 0.5 else rng.choice(["x" * 90, "  ", "\t,"]) for _ in range(rng.randint(0, 60)))
+        for inner in (False, True):
+            got = []
+            for size in (1 << 18, 16, 64):
+                monkeypatch.setattr(W, "BLOCK", size)
+                W._powers.cache_clear()
+                got.append(W.word_hashes(*W.texts(pa.array([text])), lower=True, inner=inner))
+            for other in got[1:]:
+                assert all(np.array_equal(x, y) for x, y in zip(got[0], other))
+    W._powers.cache_clear()
