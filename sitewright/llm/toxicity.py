@@ -135,23 +135,45 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     if not rows:
         drop(marks, made)
         return Weights(float(np.log(1 / 3)), np.zeros(0, np.int64), np.zeros(0))
-    state = State.start(rows, positive)
-    ordered = made.coalesce(1).sortWithinPartitions("order", "y", "x")
+    # the state goes from pass to pass as the row before all others, through the shared folder and not the driver
+    names = ["first", "order", "y", "x", "bias", "bias_n", "z", "n"]
+    schema = "first int, order long, y int, x binary, bias double, bias_n double, z binary, n binary"
+    begin = State.start(rows, positive)
+    state = spark.createDataFrame([(0, None, None, None, begin.bias, begin.bias_n, None, None)], schema)
+    rest = made.withColumn("first", F.lit(1)).select("first", "order", "y", "x", *[F.lit(None).cast(t).alias(c) for c, t in (("bias", "double"), ("bias_n", "double"), ("z", "binary"), ("n", "binary"))])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for b in batches:
+            skip = 0
+            if own is None and b.num_rows:
+                own, skip = _read_state(b), 1
+            learn(((x.view(np.uint32), y) for y, x in list(zip(b.column(2).to_pylist(), W.binaries(b.column(3)), strict=True))[skip:]), own, how)
+        W.give_back()
+        if own is not None:
+            values = [[0], [None], [None], [None], [own.bias], [own.bias_n], [own.z.tobytes()], [own.n.tobytes()]]
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                w = _read_state(b).weights(how)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, w.place)), pa.array(np.append(w.bias, w.value))], ["place", "value"])
+
     for _ in range(how.passes):
-        sent = spark.sparkContext.broadcast(state)
-
-        def train(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = State(sent.value.bias, sent.value.bias_n, sent.value.z.copy(), sent.value.n.copy())
-            for b in batches:
-                learn(((x.view(np.uint32), y) for y, x in zip(b.column(1).to_pylist(), W.binaries(b.column(2)), strict=True)), own, how)
-            W.give_back()
-            yield pa.RecordBatch.from_arrays([pa.array([own.bias]), pa.array([own.bias_n]), pa.array([own.z.tobytes()], pa.binary()), pa.array([own.n.tobytes()], pa.binary())], ["bias", "bias_n", "z", "n"])
-
-        got = ordered.mapInArrow(train, "bias double, bias_n double, z binary, n binary").collect()[0]
-        state = State(got.bias, got.bias_n, np.frombuffer(bytes(got.z)).copy(), np.frombuffer(bytes(got.n)).copy())
-        sent.destroy()
-    drop(marks, made)
-    return state.weights(how)
+        ordered = state.union(rest).coalesce(1).sortWithinPartitions("first", "order", "y", "x")
+        before, state = state, save(ordered.mapInArrow(train, schema), "toxicity-state")
+        drop(before)
+    got = sorted(state.mapInArrow(weigh, "place long, value double").collect())
+    drop(marks, made, state)
+    place, value = np.array([r.place for r in got]), np.array([r.value for r in got])
+    return Weights(float(value[0]), place[1:], value[1:])
+
+
+def _read_state(b: pa.RecordBatch) -> State:
+    z, n = (np.frombuffer(b.column(i)[0].as_py() or bytes(8 << BITS)).copy() for i in (6, 7))
+    return State(b.column(4)[0].as_py(), b.column(5)[0].as_py(), z, n)
 
 
 def score(docs: DataFrame, weights: Weights, text_col: str = "text", score_col: str = "score") -> DataFrame:
