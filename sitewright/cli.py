@@ -103,7 +103,7 @@ def _call(args: argparse.Namespace, err) -> int:
         builder = builder.config("spark.master", f"local[{args.threads}]")
     params = CallParams(args.min_mapq, args.min_baseq, args.min_alt_count, args.min_alt_fraction, args.max_depth)
     try:
-        run(builder.getOrCreate(), args.reference, args.targets, args.output, args.input, args.bamlist, args.rg_map, args.index_type, params, metrics=verbose > 1)
+        run(builder.getOrCreate(), args.reference, args.targets, args.output, args.input, args.bamlist, args.rg_map, args.index_type, params, metrics=verbose > 1, verbose=verbose > 0)
     except Exception as e:  # noqa: BLE001
         logging.getLogger("sitewright").error("error: %s", e)
         return 1

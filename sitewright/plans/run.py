@@ -27,7 +27,7 @@ def stage(name: str):
     log.info("[call-targets] stage=%s elapsed=%.2fs", name, time.monotonic() - began)
 
 
-def run(spark: SparkSession, reference: str, targets: str, output: str, inputs: list[str] | None = None, bamlist: str | None = None, rg_map: str | None = None, index: str = "csi", params: CallParams = CallParams(), split: int = bam.SPLIT, metrics: bool = False) -> None:
+def run(spark: SparkSession, reference: str, targets: str, output: str, inputs: list[str] | None = None, bamlist: str | None = None, rg_map: str | None = None, index: str = "csi", params: CallParams = CallParams(), split: int = bam.SPLIT, metrics: bool = False, verbose: bool = False) -> None:
     """Errors come in this order: reference, inputs, headers, targets, samples, then those of the data."""
     with stage("prepare_reference"):
         prepared = prepare_reference(spark, reference)
@@ -57,7 +57,7 @@ def run(spark: SparkSession, reference: str, targets: str, output: str, inputs:
             per_file = pileup.written(per_file)
             _report(spark, paths, split, merged, dims, per_file, params)
     with stage("write_vcf"):
-        write_vcf(variants(per_file, samples, contigs, rows, params), output, reference, [(n, known[n]) for n, _ in heads[0].contigs], names, index)
+        write_vcf(variants(per_file, samples, contigs, rows, params), output, reference, [(n, known[n]) for n, _ in heads[0].contigs], names, index, verbose)
 
 
 def _report(spark: SparkSession, paths: list[str], split: int, merged: DataFrame, dims: DataFrame, per_file: DataFrame, params: CallParams) -> None:

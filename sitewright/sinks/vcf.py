@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import shutil
+import sys
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,10 +23,13 @@ from ..operators.calling import vcf_line
 from ..sources import bgzf
 from . import index as ix
 
+#: Records of a task after which it tells how far it is.
+PROGRESS = 100_000
 #: Stands in the header as the program that wrote the file.
 SOURCE = "sitewright call-targets"
 
 
+# Fixed values of the format: the lines of the header.
 def header(reference: str, contigs: list[tuple[str, int]], samples: list[str]) -> str:
     lines = [
         "##fileformat=VCFv4.3",
@@ -49,8 +54,8 @@ class Part(WriterCommitMessage):
 
 
 class VcfWriter(DataSourceWriter):
-    def __init__(self, path: str, head: str, names: list[str], kind: str):
-        self.path, self.head, self.names, self.kind = path, head, names, kind
+    def __init__(self, path: str, head: str, names: list[str], kind: str, verbose: bool = False):
+        self.path, self.head, self.names, self.kind, self.verbose = path, head, names, kind, verbose
         self.stage = f"{path}.{uuid.uuid4().hex[:12]}.parts"
         os.makedirs(self.stage, exist_ok=True)
 
@@ -65,10 +70,17 @@ class VcfWriter(DataSourceWriter):
                 out.write(row["line"].encode() + b"\n")
                 part.contigs.setdefault(row["ref_id"], ix.Contig()).add(row["pos"] - 1, row["pos"], start, out.tell())
                 part.rows += 1
+                if part.rows % PROGRESS == 0:
+                    self.say(f"write progress: part={part.number} variants={part.rows}")
             out.flush()
         return part
 
+    def say(self, what: str) -> None:
+        if self.verbose:
+            print(f"[call-targets] {what}", file=sys.stderr, flush=True)
+
     def commit(self, messages: list[Part | None]) -> None:
+        began = time.monotonic()
         whole: dict[int, ix.Contig] = {}
         temporary = f"{self.stage}/whole"
         with open(temporary, "wb") as fh:
@@ -82,11 +94,14 @@ class VcfWriter(DataSourceWriter):
                 for ref, contig in part.contigs.items():
                     whole.setdefault(ref, ix.Contig()).extend(contig, at)
             fh.write(bgzf.EOF)
+        joined = time.monotonic()
         with open(f"{temporary}.index", "wb") as fh:
             fh.write((ix.csi if self.kind == "csi" else ix.tbi)(whole, self.names))
         os.replace(f"{temporary}.index", f"{self.path}.{self.kind}")
         os.replace(temporary, self.path)
         shutil.rmtree(self.stage, ignore_errors=True)
+        rows, parts = sum(m.rows for m in messages if m), sum(1 for m in messages if m and m.rows)
+        self.say(f"write breakdown: variants={rows} parts={parts} join_ms={1000 * (joined - began):.2f} index_ms={1000 * (time.monotonic() - joined):.2f} index={self.kind}")
 
     def abort(self, messages) -> None:
         shutil.rmtree(self.stage, ignore_errors=True)
@@ -98,10 +113,10 @@ class VcfSink(DataSource):
         return "sitewright_vcf"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return VcfWriter(self.options["path"], self.options["header"], self.options["contigs"].split("\n"), self.options.get("index", "csi"))
+        return VcfWriter(self.options["path"], self.options["header"], self.options["contigs"].split("\n"), self.options.get("index", "csi"), self.options.get("verbose") == "true")
 
 
-def write_vcf(variants: DataFrame, path: str, reference: str, contigs: list[tuple[str, int]], samples: list[str], index: str = "csi") -> None:
+def write_vcf(variants: DataFrame, path: str, reference: str, contigs: list[tuple[str, int]], samples: list[str], index: str = "csi", verbose: bool = False) -> None:
     """variants: as the plan returns them. path must be on a file system that all executors mount."""
     if index not in ("csi", "tbi"):
         raise ValueError(f"{index} is no index type; csi and tbi are")
@@ -109,5 +124,5 @@ def write_vcf(variants: DataFrame, path: str, reference: str, contigs: list[tupl
         os.makedirs(folder, exist_ok=True)
     variants.sparkSession.dataSource.register(VcfSink)
     lines = vcf_line(variants).select("ref_id", "pos", "line").orderBy("ref_id", "pos")
-    named = {"header": header(reference, contigs, samples), "contigs": "\n".join(n for n, _ in contigs), "index": index}
+    named = {"header": header(reference, contigs, samples), "contigs": "\n".join(n for n, _ in contigs), "index": index, "verbose": str(verbose).lower()}
     lines.write.format("sitewright_vcf").options(**named).mode("append").save(os.path.abspath(path))

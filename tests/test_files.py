@@ -110,6 +110,7 @@ def test_rg_map_and_cli(spark, data):
     body = [x for x in lines(out) if x[0] != "#"]
     assert body == call(data["files"], data["targets"], {"g3": "z", "g1": "a", "g2": "a"}, ["z", "a"], data["seqs"], CONTIGS)
     assert "retained=" in (folder / "logs" / "log").read_text() and "base_obs=" in (folder / "logs" / "log").read_text()
+    assert "stage=write_vcf" in (folder / "logs" / "log").read_text()
     assert cli.main([*args[:-1], str(folder / "missing")]) == 1
     with pytest.raises(SystemExit):
         cli.main(["call-targets", "-i", "x", "--bamlist", "y", "-r", "r", "-T", "t", "-o", "o"])
