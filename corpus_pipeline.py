@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.llm import decontamination, mixing, near_dedup, sharding, toxicity
-from sitewright.llm.common import joined, limit_batches, save, table
+from sitewright.llm.common import drop, joined, limit_batches, save, table
 
 #: Near duplicates share 80 of 100 five-word shingles.
 PERCENT = 80
@@ -75,7 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents. What a stage read is deleted once its own rows are written; the tables that
+    the result reads stay until `common.clear`."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
