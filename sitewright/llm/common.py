@@ -97,8 +97,8 @@ def joined_hot(left: DataFrame, right: DataFrame, on: list[str], size: str, how:
     left side, and only the others are shuffled. No key in the shuffle is hot. how: left or inner."""
     if small(right, rows):
         return left.join(F.broadcast(right), on, how)
-    busy = right.where(F.col(size) > hot).withColumn("_hot", F.lit(True))
+    busy = right.where(F.col(size) > hot).withColumn("_joined_hot", F.lit(True))
     first = left.join(F.broadcast(busy), on, "left")
-    met = first.where("_hot").drop("_hot")
-    rest = first.where("_hot IS NULL").select(*left.columns)
+    met = first.where("_joined_hot").drop("_joined_hot")
+    rest = first.where("_joined_hot IS NULL").select(*left.columns)
     return met.unionByName(rest.join(right.where(F.col(size) <= hot).hint("merge"), on, how))

@@ -7,7 +7,8 @@ A larger budget takes all that a smaller one takes.
 
 Null text has size 0; null source is a source of its own and comes last. Documents of size 0 take part and
 take nothing. Rows with equal ids are taken or left together. If no row has words, all targets are 0. Of an
-empty table the result is empty. Columns other than the three named are not read.
+empty table the result is empty. `mix` reads no other columns; `mixed` keeps them all, and their names must not
+start with ``_mix_`` or be ``_joined_hot``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, filled, joined, save
+from .common import WORD, filled, joined, joined_hot, save
 
 WEIGHTS = (3, 1, 2)
 BITS, LEVELS = 12, 4
@@ -69,7 +70,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, num: int = 3,
     t = t.withColumn("first", first)
     share = (F.col("weight") * F.col("first.left")).cast("double") / (F.col("first.rest") * den).cast("double")
     target = F.when(F.col("full"), (F.col("source_size") * most).cast("double")).otherwise(share)
-    return t.select("source_key", "source", "source_size", target.alias("target"))
+    return t.select(*totals.columns, target.alias("target"))
 
 
 def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -99,8 +100,8 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source_key, source_size, target, copies, bound for each source of `sizes`."""
-    totals = rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    """source_key, source_size, rows, target, copies, bound for each source of `sizes`."""
+    totals = rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goals = save(targets(totals, weights), "mix-targets")
     return goals.join(thresholds(rows, goals), "source_key").drop("source")
 
@@ -114,15 +115,17 @@ def _copies(copies: str = "copies", number="number", bound: str = "bound"):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """id, source, size, source_size, target, copies (0 to 2) and taken for each row."""
     rows = save(sizes(docs, id_col, text_col, source_col), "mix-rows")
-    out = joined(rows, plan(rows, weights), ["source_key"])
+    # a source may hold a third of all rows
+    out = joined_hot(rows, plan(rows, weights), ["source_key"], "rows", "inner")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _copies().alias("copies"), (F.col("size") * _copies()).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows themselves, each as often as the mix takes it; texts do not move."""
     rows = save(sizes(docs, id_col, text_col, source_col), "mix-rows")
-    chosen = save(plan(rows, weights), "mix-plan").select("source_key", F.col("copies").alias("_mix_copies"), F.col("bound").alias("_mix_bound"))
-    keyed = docs.withColumn("source_key", source_key(source_col))
+    chosen = save(plan(rows, weights), "mix-plan")
+    chosen = chosen.select(F.col("source_key").alias("_mix_key"), F.col("rows").alias("_mix_rows"), F.col("copies").alias("_mix_copies"), F.col("bound").alias("_mix_bound"))
+    keyed = docs.withColumn("_mix_key", source_key(source_col))
     times = _copies("_mix_copies", number_of(id_col), "_mix_bound")
-    repeated = joined(keyed, chosen, ["source_key"]).withColumn("_mix_times", times).where("_mix_times > 0")
+    repeated = joined_hot(keyed, chosen, ["_mix_key"], "_mix_rows", "inner").withColumn("_mix_times", times).where("_mix_times > 0")
     return repeated.withColumn("_mix_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))).select(*docs.columns)
