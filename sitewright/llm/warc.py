@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filled, joined, joined_hot, new_path, save
+from .common import filled, joined_hot, new_path, save
 
 LEAST_REVISIT, PAGES_A_FILE = 1000, 2000
 CRLF, END = "\r\n", "\r\n\r\n"
@@ -246,9 +246,13 @@ def resolved(found: DataFrame) -> DataFrame:
     page = F.regexp_extract(F.col("metadata.block").cast("string"), r"(?m)^page-id: (-?\d+)", 1)
     rows = found.select("record", "kind", F.when(page != "", page).cast("long").alias("page_id"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_sha1").alias("sha"), F.col("response.declared").alias("declared"), F.col("response.refers_to").alias("refers_to"))
     rows = save(rows, "warc-captures")
-    named = rows.where("kind = 'revisit'").select(F.col("refers_to").alias("record")).distinct()
-    origin = rows.where("kind = 'response'").join(named, "record", "left_semi").dropDuplicates(["record"]).select(F.col("record").alias("refers_to"), F.col("page_id").alias("of"), F.col("n").alias("full"))
-    both = joined(rows, save(origin, "warc-origins"), ["refers_to"], "left")
+    # a response may be what a third of all records revisit; responses themselves refer to nothing
+    refers = F.col("refers_to").isNotNull()
+    named = rows.where("kind = 'revisit'").where(refers).groupBy(F.col("refers_to").alias("record")).agg(F.count("*").alias("revisits"))
+    origin = rows.where("kind = 'response'").dropDuplicates(["record"]).join(named, "record")
+    origin = origin.select(F.col("record").alias("refers_to"), F.col("page_id").alias("of"), F.col("n").alias("full"), "revisits")
+    both = joined_hot(rows.where(refers), save(origin, "warc-origins"), ["refers_to"], "revisits", "left").drop("revisits")
+    both = both.unionByName(rows.where(~refers), allowMissingColumns=True)
     return both.select("page_id", F.coalesce("n", "full").alias("payload_bytes"), F.coalesce("sha", F.substring_index("declared", ":", -1)).alias("payload_digest"), F.col("kind").alias("record_type"), F.col("of").alias("refers_to"))
 
 
