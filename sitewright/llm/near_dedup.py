@@ -197,8 +197,8 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int,
     signed = save(signatures(docs, bands, id_col, text_col), "near-signatures")
     key = ["set_a", "set_b", "n"]
     # one row stands for each set; where an id has several texts, each of its sets does
-    heads = signed.where("n > 0 AND doc IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc", "bands", "bits")).alias("h"))
-    heads = save(heads.select(*key, "h.*"), "near-heads")
+    heads = signed.where("n > 0 AND doc IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc", "bands", "bits")).alias("h"), F.count("*").alias("rows"))
+    heads = save(heads.select(*key, "h.*", "rows"), "near-heads")
     shared = heads.select(F.explode("bands").alias("gid"), "doc", *key)
     groups = save(sized(shared, limit), "near-bands")
     # each set is judged by its own signature
@@ -211,20 +211,24 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int,
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), filled(F.col(text_col).cast("string")).alias("text"))
     links = link_groups(full_sets(joined(texts, members, ["doc"], rows=FEW)), groups, comparing(percent), limit)
     # an id of several sets hangs together with the ids that stand for them
-    several = signed.where("doc IS NOT NULL").groupBy("doc").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).where("a <> b")
-    several = save(several.select("doc"), "near-several")
+    several = signed.where("doc IS NOT NULL").groupBy("doc").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b"), F.count("*").alias("times")).where("a <> b")
+    several = save(several.select("doc", "times"), "near-several")
     more = bool(several.limit(1).count())
     if more:
-        own_sets = joined(signed.where("n > 0").select("doc", *key), several, ["doc"], "left_semi", FEW).distinct()
+        own_sets = joined_hot(signed.where("n > 0").select("doc", *key), several, ["doc"], "times", "inner", FEW).drop("times").distinct()
         links = links.union(own_sets.join(heads.select(*key, F.col("doc").alias("head")), key).select(F.col("doc").alias("a"), F.col("head").alias("b")))
     labels = components(links).withColumnRenamed("node", "doc")
-    named = joined(heads.select(*key, "doc"), labels, ["doc"], "left", FEW)
-    named = named.select(*key, F.coalesce("component", "doc").alias("component_id"))
-    out = joined(signed.select("doc", *key), named, key, "left", FEW)
+    named = joined(heads.select(*key, "doc", "rows"), labels, ["doc"], "left", FEW)
+    named = save(named.select(*key, "rows", F.coalesce("component", "doc").alias("component_id")), "near-named")
+    # a set may be that of a third of all rows; rows without words or without an id have no label to look up
+    rows, none = signed.select("doc", *key), F.lit(None).cast("long")
+    out = joined_hot(rows.where("n > 0 AND doc IS NOT NULL"), named, key, "rows", "left", FEW).drop("rows")
+    out = out.unionByName(rows.where("n = 0 AND doc IS NOT NULL").withColumn("component_id", none))
     if more:
-        by_doc = several.join(labels, "doc", "left").select("doc", F.coalesce("component", "doc").alias("of_doc"))
-        out = joined(out, by_doc, ["doc"], "left", FEW)
+        by_doc = several.join(labels, "doc", "left").select("doc", "times", F.coalesce("component", "doc").alias("of_doc"))
+        out = joined_hot(out, save(by_doc, "near-of-doc"), ["doc"], "times", "left", FEW).drop("times")
     else:
-        out = out.withColumn("of_doc", F.lit(None).cast("long"))
+        out = out.withColumn("of_doc", none)
+    out = out.unionByName(rows.where("doc IS NULL").withColumns({"component_id": none, "of_doc": none}))
     own = F.when(F.col("of_doc").isNotNull(), F.col("of_doc")).when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc").eqNullSafe(own).alias("kept"))
