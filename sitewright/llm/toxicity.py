@@ -10,7 +10,7 @@ texts are scored, whole, in one pass without a shuffle.
 
 Null text counts as empty; its score is that of the bias alone. Rows without a label, or with a null one,
 teach nothing. Without labelled rows every score is 0.25. Rows with equal ids are scored each; labels of equal
-ids all teach. Of an empty table the result is empty. `score` keeps all columns of
+ids all teach, and so do their texts, unless they are more than ``fit_rows`` then: of each id and label one does. Of an empty table the result is empty. `score` keeps all columns of
 its rows; their names must differ from the one it adds, which is a parameter.
 """
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,6 +135,11 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     if not rows:
         drop(marks, made)
         return Weights(float(np.log(1 / 3)), np.zeros(0, np.int64), np.zeros(0))
+    if rows > fit_rows:
+        one = F.row_number().over(Window.partitionBy("order", "y").orderBy("x"))
+        every, made = made, save(made.withColumn("n", one).where("n = 1").drop("n"), "toxicity-features")
+        drop(every)
+        rows, positive = made.agg(F.count("*"), F.sum("y")).first()
     # the state goes from pass to pass as the row before all others, through the shared folder and not the driver
     names = ["first", "order", "y", "x", "bias", "bias_n", "z", "n"]
     schema = "first int, order long, y int, x binary, bias double, bias_n double, z binary, n binary"

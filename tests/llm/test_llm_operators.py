@@ -742,6 +742,38 @@ def test_others_shuffled(spark, docs, rows, shuffled, tmp_path):
     test_warc(spark, tmp_path)
 
 
+def test_hot_rows_shuffled(spark, docs, rows, shuffled, monkeypatch, tmp_path):
+    """The same where some keys count as hot and the others are shuffled."""
+    from sitewright.llm import common
+
+    for module in (exact_dedup, mixing, near_dedup, warc):
+        monkeypatch.setattr(module, "joined_hot", lambda *a, **k: common.joined_hot(*a, **{**k, "hot": 2}))
+    test_mixing(docs, rows)
+    test_near(docs, rows, 85, 4)
+    test_near_of_several_texts(spark)
+    test_warc(spark, tmp_path)
+
+
+def test_mix_keeps_columns(spark, docs):
+    """Columns that the operator does not know come through as they were."""
+    more = docs.select("doc_id", "text", "source").where("doc_id IS NOT NULL").withColumns({"source_key": F.lit("own"), "rows": F.lit(7), "copies": F.lit("c"), "bound": F.lit("b")})
+    got = mixing.mixed(more)
+    assert got.columns == more.columns
+    assert {tuple(r) for r in got.select("source_key", "rows", "copies", "bound").distinct().collect()} == {("own", 7, "c", "b")}
+
+
+def test_fit_of_repeated_ids(spark):
+    """Ids with more texts than the fit takes: of each id and label one text teaches."""
+    made = [(1, f"a clean text {i}") for i in range(50)] + [(1, "a clean text 0")] * 20 + [(2, "bad words"), (3, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    how = toxicity.Ftrl(l1=0.0, passes=1)
+    few, one = toxicity.fit(docs, labels, fit_rows=10, how=how), spark.createDataFrame([*made[-2:], (1, made[0][1])], docs.schema)
+    assert toxicity.fit(docs, labels, fit_rows=100, how=how).bias != few.bias
+    assert abs(few.bias - toxicity.fit(one, labels, how=how).bias) < 0.2
+    assert len(few.place) < 20
+
+
 def test_copies_shuffled(spark):
     """Rows that meet a hot key: those beyond the limit are broadcast, the others shuffled."""
     from sitewright.llm import common
