@@ -4,12 +4,15 @@ in the shared folder, and read back by the sources. With SQL for the same rows."
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bases
@@ -24,6 +27,12 @@ from .sinks.vcf import write_vcf
 from .sources import bam, bgzf, fasta, text
 
 CAP, CHUNK = 2, 512
+#: Reads that a task writes to BAM. It is the first number while that makes no more than DEALT tasks, for which Spark's
+#: shuffle holds no rows in memory; then tasks grow up to the second number, and their number grows after that.
+FEW_READS, MANY_READS, DEALT = 1 << 16, 1 << 21, 200
+# Bases as hexadecimal digits, qualities without their offset.
+_CODES = str.maketrans({b: f"{i:x}" for i, b in enumerate(bam.SEQUENCE)})
+_PLAIN = bytes((q - 33) % 256 for q in range(256))
 
 
 def _folder(spark: SparkSession) -> str:
@@ -52,7 +61,8 @@ def _header(spark: SparkSession, sf: str) -> bytes:
     return out + b"".join(struct.pack("<i", len(c.name) + 1) + c.name.encode() + b"\0" + struct.pack("<i", c.length) for c in contigs)
 
 
-def _record(ref: int, pos: int, flag: int, mapq: int, rg: str, cigar: str, seq: str, qual: str) -> bytes:
+@cache
+def _operations(cigar: str) -> bytes:
     ops, n = [], ""
     for c in cigar:
         if c.isdigit():
@@ -60,33 +70,67 @@ def _record(ref: int, pos: int, flag: int, mapq: int, rg: str, cigar: str, seq:
         else:
             ops.append(int(n) << 4 | bam.OPERATIONS.index(c))
             n = ""
-    codes = [bam.SEQUENCE.index(b) for b in seq] + [0] * (len(seq) % 2)
-    body = struct.pack("<iiBBHHHiiii", ref, pos - 1, 2, mapq, 0, len(ops), flag, len(seq), -1, -1, 0) + b"r\0" + struct.pack(f"<{len(ops)}I", *ops)
-    body += bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2)) + bytes(ord(q) - 33 for q in qual) + b"RGZ" + rg.encode() + b"\0"
-    return struct.pack("<i", len(body)) + body
+    return struct.pack(f"<{len(ops)}I", *ops)
 
 
-def _bams(spark: SparkSession, sf: str) -> list[str]:
-    """The projected reads as one BAM file for each input, written by as many tasks."""
-    folder, head = _folder(spark), _header(spark, sf)
+def _record(ref: int, pos: int, flag: int, mapq: int, rg: str, cigar: str, seq: str, qual: str) -> bytes:
+    ops, n = _operations(cigar), len(seq)
+    body = ops + bytes.fromhex((seq + "=" * (n % 2)).translate(_CODES)) + qual.encode().translate(_PLAIN) + b"RGZ" + rg.encode() + b"\0"
+    return struct.pack("<iiiBBHHHiiii", 34 + len(body), ref, pos - 1, 2, mapq, 0, len(ops) // 4, flag, n, -1, -1, 0) + b"r\0" + body
+
+
+def _tasks(reads_: int) -> int:
+    return max(1, -(-reads_ // MANY_READS), min(DEALT, -(-reads_ // FEW_READS)))
+
+
+def _parts(spark: SparkSession, sf: str, folder: str) -> list[Row]:
+    """file_idx, number, path, n: files of BGZF blocks without a header, which hold the reads of an input in order
+    when they are joined by number. Reads are sorted over all partitions, by the few columns that they are made
+    from, so neither an input nor its reads' text goes through one task."""
+    lines = P.lines(spark, sf)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[int, tuple] = {}
+        task = TaskContext.get()
+        number, files = task.partitionId(), {}
         for batch in batches:
             for i, *fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if i not in files:
-                    fh = open(f"{folder}/{i}.{uuid.uuid4().hex}.part", "wb")
-                    files[i] = fh, bgzf.Writer(fh)
-                    files[i][1].write(head)
+                    fh = open(f"{folder}/{i}-{number}-{task.taskAttemptId()}", "wb")
+                    files[i] = [fh, bgzf.Writer(fh), 0]
                 files[i][1].write(_record(*fields))
-        for i, (fh, out) in files.items():
-            out.finish()
+                files[i][2] += 1
+        for fh, out, _ in files.values():
+            out.flush()
             fh.close()
-            os.replace(fh.name, f"{folder}/{i}.bam")
-        yield pa.RecordBatch.from_pydict({"file_idx": pa.array(list(files), pa.int32())})
+        rows = [(i, number, fh.name, n) for i, (fh, _, n) in files.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+    schema = pa.schema([("file_idx", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n", pa.int64())])
+    sorted_ = lines.repartitionByRange(_tasks(lines.count()), "file_idx", *P.ORD).sortWithinPartitions("file_idx", *P.ORD)
+    rows = P.reads_of(sorted_).select("file_idx", "ref_id", "pos", "flag", "mapq", "rg", "cigar", "seq", "qual")
+    return rows.mapInArrow(write, "file_idx int, number int, path string, n long").collect()
 
-    rows = P.alignments(spark, sf).repartition("file_idx").sortWithinPartitions("file_idx", "ord")
-    rows.select("file_idx", "ref_id", "pos", "flag", "mapq", "rg", "cigar", "seq", "qual").mapInArrow(write, "file_idx int").collect()
+
+def _bams(spark: SparkSession, sf: str) -> list[str]:
+    """The projected reads as one BAM file for each input, also for one without reads, so that the order of paths
+    is that of inputs. The driver joins compressed parts behind the header."""
+    folder, head = _folder(spark), _header(spark, sf)
+    stage = f"{folder}/parts"
+    os.makedirs(stage)
+    parts = sorted(_parts(spark, sf, stage), key=lambda p: p.number)
+    for i in range(P.FILES):
+        with open(f"{stage}/whole", "wb") as fh:
+            first = bgzf.Writer(fh)
+            first.write(head)
+            first.flush()
+            for part in parts:
+                if part.file_idx == i:
+                    with open(part.path, "rb") as own:
+                        shutil.copyfileobj(own, fh, 1 << 20)
+                    os.remove(part.path)
+            fh.write(bgzf.EOF)
+        os.replace(f"{stage}/whole", f"{folder}/{i}.bam")
+    shutil.rmtree(stage, ignore_errors=True)
     return text.input_paths([folder])
 
 

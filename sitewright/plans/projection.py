@@ -15,6 +15,8 @@ CIGARS = ("12M", "3S9M", "4M1I7M", "4M2D8M", "5M50N7M", "2H6=1X5M")
 READ_BASES = 12
 SPAN = 2000
 LENGTH = 2100
+#: Inputs of a call.
+FILES = 3
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +40,17 @@ def _qualities(first: Column) -> Column:
     return F.substring(F.lit(steps), (first * 6 % 41 + 1).cast("int"), F.lit(READ_BASES))
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag")
+#: What orders the reads of an input.
+ORD = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads are made from: an input and numbers, a third of the bytes of the reads."""
+    flag = F.col("l_returnflag")
+    return _read(spark, sf_dir, "lineitem").select(F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("file_idx"), *ORD)
+
+
+def reads_of(lines: DataFrame) -> DataFrame:
     key, line, part, supp = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     ref_id, pos = (part % 5).cast("int"), 1 + (key * 7 + line * 13) % SPAN
     # base i differs where 11 divides part + 3 i: at i = 7 part mod 11, and 11 bases on
@@ -47,9 +58,9 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.overlay(_reference_run(pos, ref_id), other, at)
     seq = F.when(at == 1, F.overlay(seq, other, F.lit(12))).otherwise(seq)
     cigar = F.element_at(F.array(*map(F.lit, CIGARS)), (line % 6 + 1).cast("int"))
-    return li.select(
-        (F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)).alias("file_idx"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").alias("ord"),
+    return lines.select(
+        "file_idx",
+        F.struct(*ORD).alias("ord"),
         ref_id.alias("ref_id"),
         pos.alias("pos"),
         F.when(line == 7, 1024).when(line == 6, 256).otherwise(16).alias("flag"),
@@ -61,6 +72,10 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads_of(lines(spark, sf_dir))
+
+
 def raw_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One interval for each part, on four of the five contigs; some are empty. They begin in the first 20 of
     each 200 bases and end within 31, so gaps stay between them however many parts there are."""
