@@ -73,3 +73,12 @@ def test_bam_of_inputs_without_reads(spark, tmp_path, kept):
             df = entry.queries()[name](spark, str(tmp_path))
             names = ", ".join(f'"{c}"' for c in sorted(df.columns))
             assert plain(df.select(*sorted(df.columns)).collect()) == plain(con.sql(f"SELECT {names} FROM ({entry.oracle_sql()[name]})").fetchall())
+
+
+def test_skipped_in_joined_parts(spark, duck, monkeypatch):
+    """Reads are passed over alike in files joined from many parts, whose blocks are short."""
+    monkeypatch.setattr(file_queries, "FEW_READS", 100)
+    assert file_queries._tasks(projection.lines(spark, SF).count()) > 50
+    got = entry.queries()["bam_skipped_early"](spark, SF)
+    want = duck.sql(f"SELECT file_idx, ref_id, n, sum_pos FROM ({entry.oracle_sql()['bam_skipped_early']})").fetchall()
+    assert plain(got.select("file_idx", "ref_id", "n", "sum_pos").collect()) == plain(want)
