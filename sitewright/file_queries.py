@@ -86,7 +86,8 @@ def _tasks(reads_: int) -> int:
 def _parts(spark: SparkSession, sf: str, folder: str) -> list[Row]:
     """file_idx, number, path, n: files of BGZF blocks without a header, which hold the reads of an input in order
     when they are joined by number. Reads are sorted over all partitions, by the few columns that they are made
-    from, so neither an input nor its reads' text goes through one task."""
+    from, so neither an input nor its reads' text goes through one task. Equal lines make equal records, so they
+    may be dealt to many tasks in any order."""
     lines = P.lines(spark, sf)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +107,8 @@ def _parts(spark: SparkSession, sf: str, folder: str) -> list[Row]:
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
     schema = pa.schema([("file_idx", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n", pa.int64())])
-    sorted_ = lines.repartitionByRange(_tasks(lines.count()), "file_idx", *P.ORD).sortWithinPartitions("file_idx", *P.ORD)
-    rows = P.reads_of(sorted_).select("file_idx", "ref_id", "pos", "flag", "mapq", "rg", "cigar", "seq", "qual")
+    dealt = lines.withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(_tasks(lines.count()), "file_idx", *P.ORD, "copy").drop("copy")
+    rows = P.reads_of(dealt.sortWithinPartitions("file_idx", *P.ORD)).select("file_idx", "ref_id", "pos", "flag", "mapq", "rg", "cigar", "seq", "qual")
     return rows.mapInArrow(write, "file_idx int, number int, path string, n long").collect()
 
 

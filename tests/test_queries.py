@@ -82,3 +82,22 @@ def test_skipped_in_joined_parts(spark, duck, monkeypatch):
     got = entry.queries()["bam_skipped_early"](spark, SF)
     want = duck.sql(f"SELECT file_idx, ref_id, n, sum_pos FROM ({entry.oracle_sql()['bam_skipped_early']})").fetchall()
     assert plain(got.select("file_idx", "ref_id", "n", "sum_pos").collect()) == plain(want)
+
+
+def test_bam_of_equal_lines(spark, tmp_path, monkeypatch):
+    """A line of many copies is not one task's."""
+    for t in ("region", "nation", "supplier", "part"):
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    held = f"SELECT * FROM '{SF}/lineitem.parquet'"
+    with duckdb.connect() as con:
+        con.execute(f"COPY ({held} UNION ALL SELECT one.* FROM ({held} WHERE l_linenumber = 3 AND l_partkey % 5 = 1 LIMIT 1) one, range(6000)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+        for t in ("region", "nation", "supplier", "part", "lineitem"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+        monkeypatch.setattr(file_queries, "FEW_READS", 500)
+        (tmp_path / "stage").mkdir()
+        parts = file_queries._parts(spark, str(tmp_path), str(tmp_path / "stage"))
+        per_task = {k: sum(p.n for p in parts if p.number == k) for k in {p.number for p in parts}}
+        assert sum(per_task.values()) == projection.lines(spark, SF).count() + 6000 and max(per_task.values()) < 3 * 500
+        got = entry.queries()["bam_skipped_early"](spark, str(tmp_path))
+        want = con.sql(f"SELECT file_idx, ref_id, n, sum_pos FROM ({entry.oracle_sql()['bam_skipped_early']})").fetchall()
+        assert plain(got.select("file_idx", "ref_id", "n", "sum_pos").collect()) == plain(want)
